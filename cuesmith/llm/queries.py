@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import decontam, huffman, packing, reply_trees, topk, url_rules
+from cuesmith.llm import decontam, huffman, ngram_join, packing, reply_trees, topk, url_rules
 from cuesmith.llm.common import staged, table
 from cuesmith.session import ship
 
@@ -17,6 +17,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ship(spark), sf_dir, "documents"), capacity=1024, end_id=2, keep_ids=False)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(ship(spark), sf_dir, "documents"), n=5, percent=80).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -70,7 +74,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversations(staged(nodes, "turns")).select("tree", "formatted", "spans").mapInArrow(_read_back, READ_BACK)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op5_decontamination, op6_token_files, op7_exact_top_k, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op9_chat_format)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH p AS (
