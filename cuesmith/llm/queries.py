@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import decontam, huffman, ngram_join, packing, reply_trees, topk, url_rules
-from cuesmith.llm.common import staged, table
+from cuesmith.llm import decontam, huffman, ngram_join, packing, reply_trees, topk, toxicity, url_rules
+from cuesmith.llm.common import held_out, staged, table
 from cuesmith.session import ship
 
 
@@ -48,6 +48,12 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(ship(spark), sf_dir, "embeddings"), k=10, every=100, scale=1024)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 #: What the contract adds to ``conversations``.
 EXTRA_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -74,7 +80,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversations(staged(nodes, "turns")).select("tree", "formatted", "spans").mapInArrow(_read_back, READ_BACK)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op8_toxicity, op9_chat_format)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH p AS (
