@@ -91,8 +91,10 @@ def paths(nodes: DataFrame) -> DataFrame:
     ends = leaves.join(step.where("root is not null").select("tree", F.col("node").alias("leaf"), "root", "depth"), ["tree", "leaf"])
     out = ends.select("tree", "root", "leaf", F.col("leaf").alias("node"), F.col("depth").alias("pos"))
     for k in reversed(range(len(jumps))):
-        up = out.where(F.col("pos") >= 1 << k).join(jumps[k], ["tree", "node"]).select("tree", "root", "leaf", F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos"))
-        out = out.unionByName(up)
+        here = F.struct("node", "pos")
+        above = F.when(F.col("pos") >= 1 << k, F.struct(F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos")))
+        out = out.join(jumps[k], ["tree", "node"], "left").withColumn("at", F.explode(F.array_compact(F.array(here, above))))
+        out = out.select("tree", "root", "leaf", "at.node", "at.pos")
     return out
 
 
@@ -101,7 +103,7 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
     ``nodes``: tree, node, parent (null: a root), role, text, score.
     """
-    walked = paths(nodes)
+    walked = staged(paths(nodes), "paths")
     texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     branch = walked.join(texts.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "root", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n_turns"))
     rank = Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
