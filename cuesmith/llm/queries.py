@@ -8,11 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import decontam, huffman, ngram_join, packing, reply_trees, topk, toxicity, url_rules
+from cuesmith.llm import decontam, huffman, lang_crf, ngram_join, packing, reply_trees, topk, toxicity, url_rules
 from cuesmith.llm.common import held_out, staged, table
 from cuesmith.session import ship
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents")
+    found = lang_crf.label(docs, lang_crf.fit(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(ship(spark), sf_dir, "documents"), capacity=1024, end_id=2, keep_ids=False)
 
@@ -80,7 +86,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversations(staged(nodes, "turns")).select("tree", "formatted", "spans").mapInArrow(_read_back, READ_BACK)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op8_toxicity, op9_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op8_toxicity, op9_chat_format)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH p AS (
