@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesmith.llm import decontam, huffman, lang_crf, ngram_join, packing, reply_trees, topk, toxicity, url_rules
+from cuesmith.llm import decontam, huffman, lang_crf, ngram_join, packing, reply_trees, surrogates, topk, toxicity, url_rules
 from cuesmith.llm.common import held_out, staged, table
 from cuesmith.session import ship
 
@@ -86,7 +86,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.conversations(staged(nodes, "turns")).select("tree", "formatted", "spans").mapInArrow(_read_back, READ_BACK)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op8_toxicity, op9_chat_format)}
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, key="surrogates")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_best_fit_packing, op3_url_filter, op4_ngram_jaccard, op5_decontamination, op6_token_files, op7_exact_top_k, op8_toxicity, op9_chat_format, op10_pii_surrogates)}
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": r"""
 WITH p AS (
