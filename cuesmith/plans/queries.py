@@ -15,7 +15,7 @@ from cuesmith.sources import transcripts
 # ---- fixed values: audio tags and their types, the first that a tag holds wins
 TAGS = [
     ("music playing", "music_playing"), ("music", "music"), ("crowd cheering", "crowd_noise"), ("cheering", "crowd_noise"), ("crowd noise", "crowd_noise"), ("crowd", "crowd_noise"), ("applause", "applause"), ("laughter", "laughter"), ("laughing", "laughter"), ("gasps", "gasping"), ("gasping", "gasping"), ("screaming", "screaming"),
-    ("shouting", "shouting"), ("crying", "crying"), ("sobbing", "crying"), ("whispering", "whispering"), ("phone ringing", "ringtone"), ("phone rings", "ringtone"), ("ringtone", "ringtone"), ("doorbell", "ringtone"), ("alarm", "alarm"), ("siren", "siren"), ("buzzer", "alarm"), ("whistle blows", "whistle"), ("whistle", "whistle"), ("gunshot", "gunshot"), ("gunfire", "gunshot"), ("explosion", "explosion"), ("engine revving", "engine_noise"), ("engine noise", "engine_noise"), ("engine", "engine_noise"), ("car horn", "engine_noise"), ("thunder", "thunder"), ("rain", "rain"), ("wind", "wind"), ("footsteps", "footsteps"), ("knocking", "knocking"), ("knock", "knocking"),
+    ("shouting", "shouting"), ("crying", "crying"), ("sobbing", "crying"), ("whispering", "whispering"), ("phone ringing", "ringtone"), ("phone rings", "ringtone"), ("ringtone", "ringtone"), ("doorbell", "ringtone"), ("alarm", "alarm"), ("siren", "siren"), ("buzzer", "alarm"), ("whistle blows", "whistle"), ("whistle", "whistle"), ("gunshot", "gunshot"), ("gunfire", "gunshot"), ("explosion", "explosion"), ("engine revving", "engine_noise"), ("engine noise", "engine_noise"), ("engine", "engine_noise"), ("car horn", "engine_noise"), ("thunder", "thunder"), ("rain", "rain"), ("wind", "rain"), ("footsteps", "footsteps"), ("knocking", "knocking"), ("knock", "knocking"),
 ]
 SAMPLES = ["(Music  Playing)", "(soft music)", "(CROWD cheering)", "(applause)", "(door)", "(Laughing hard)", "(crowd)"]
 # ----
