@@ -9,6 +9,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -171,7 +173,21 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def text_chunks(column: pa.Array, most_bytes: int = 2 << 20):
+_LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
+#: Powers kept between calls; what one longer text needs is dropped after it.
+MOST_POWERS = 1 << 20
+
+
+def give_back() -> None:
+    """Return free memory to the system: idle workers share an executor's limit with its JVM."""
+    if _POW and len(_POW["p"]) > MOST_POWERS:
+        _POW.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def text_chunks(column: pa.Array, most_bytes: int = (1 << 20) - 1):
     """Slices of a string column of about ``most_bytes`` bytes (one longer text
     is a slice of its own): (first row, last row + 1, bytes, offsets). Null is
     an empty text."""
@@ -191,6 +207,7 @@ def text_chunks(column: pa.Array, most_bytes: int = 2 << 20):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most_bytes, "right")) - 1)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    give_back()
 
 
 def ragged_arange(lengths: np.ndarray) -> np.ndarray:

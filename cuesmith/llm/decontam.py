@@ -30,7 +30,7 @@ from cuesmith.llm.common import ALNUM_WORDS, Words, clear_columns, ragged_arange
 MOST_BENCHMARK_BYTES = 256 << 20
 SAMPLE = 16
 END, GAP, WORD = 0, 1, 2  # symbols: the end, the separator, the first word
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = (2 << 20) - 1
 
 
 class WaveletMatrix:
