@@ -134,7 +134,7 @@ class Tagger:
             return
         rng = np.random.default_rng(seed)
         label = np.array([self.names.index(x) for x in languages])
-        chunks = [(lo, Words(d, o, LETTERS)) for lo, _, d, o in text_chunks(pa.array(texts, pa.string()), 64 << 20)]
+        chunks = [(lo, Words(d, o, LETTERS)) for lo, _, d, o in text_chunks(pa.array(texts, pa.string()))]
         hashes = np.concatenate([w.hash for _, w in chunks])
         owner = np.concatenate([w.owner() + lo for lo, w in chunks])
         types, where, kind = np.unique(hashes, return_index=True, return_inverse=True)
