@@ -12,3 +12,15 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     assert from_spark(QUERIES[name](spark, SF)) == from_sql(ORACLE_SQL[name], SF)
+
+
+def test_density_fold_equals_loop(spark):
+    got = {r.timeline_id: (r.n_kept, r.sum_pos) for r in QUERIES["flt3_density"](spark, SF).collect()}
+    from cuesmith.plans.queries import _events
+
+    want, until = {}, {}
+    for r in sorted(_events(spark, SF).collect(), key=lambda r: (r.start_ms, r.end_ms, r.pos)):
+        if r.end_ms - r.start_ms >= 250 and r.start_ms - until.get(r.timeline_id, -999_999) >= 86_400_000:
+            n, s = want.get(r.timeline_id, (0, 0))
+            want[r.timeline_id], until[r.timeline_id] = (n + 1, s + r.pos), r.end_ms
+    assert got == want
