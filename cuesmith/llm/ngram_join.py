@@ -17,6 +17,9 @@ link (Jaccard >= ``percent`` / 100) are found without comparing all pairs:
    by that of their maxima. Nodes and points that cannot reach the threshold,
    and node pairs inside one component, are skipped. A block is dealt to tasks
    in tiles of ``TILE`` points, so no task holds a whole large block.
+   It gives pairs in waves: first the likeliest few of each class, whose links
+   join components; then more, and at last all pairs still between components.
+   Texts of a large group so meet few others, and no pair is left out.
 4. **Verification.** Surviving pairs of steps 2 and 3 are compared by their true
    intersection, and components are contracted until no link leaves one.
 
@@ -48,6 +51,8 @@ GROUPS = 64
 LEAF = 32
 TILE = 1024
 SMALL_BLOCK = 12
+#: Pairs that a class may give in a tile, wave after wave; the last has no limit.
+WAVES = (8, 64, None)
 #: Slots of the table that ranks frequent shingles; its size does not grow with the corpus.
 SLOTS = 1 << 22
 #: Shingles held by a task before it reports those it saw more than once.
@@ -281,11 +286,12 @@ def rtree(points: np.ndarray) -> list[list[np.ndarray]]:
 
 
 def tree_join(p: np.ndarray, size: np.ndarray, part: np.ndarray, q: np.ndarray, q_size: np.ndarray, q_part: np.ndarray, percent: int):
-    """Index pairs (of ``p``, of ``q``) in different components whose bound reaches the threshold."""
+    """Index pairs (of ``p``, of ``q``) in different components whose bound reaches
+    the threshold, and the bound as a share of both sizes."""
     left, right = rtree(p), rtree(q)
     tops = [(x.max(0), y.min()) for x, y in ((q[r], q_size[r]) for r in right)]
     ones = [np.unique(q_part[r]) for r in right]
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for leaf in left:
         top, least, mine = p[leaf].max(0), size[leaf].min(), np.unique(part[leaf])
         for k, node in enumerate(right):
@@ -294,19 +300,37 @@ def tree_join(p: np.ndarray, size: np.ndarray, part: np.ndarray, q: np.ndarray,
             if not may_link(np.minimum(top, tops[k][0]).sum(), least + tops[k][1], percent):
                 continue
             bound = np.minimum(p[leaf][:, None, :], q[node][None, :, :]).sum(2)
-            ok = may_link(bound, size[leaf][:, None] + q_size[node][None, :], percent) & (part[leaf][:, None] != q_part[node][None, :])
+            both = size[leaf][:, None] + q_size[node][None, :]
+            ok = may_link(bound, both, percent) & (part[leaf][:, None] != q_part[node][None, :])
             i, j = np.nonzero(ok)
             a.append(leaf[i])
             b.append(node[j])
-    return np.concatenate(a), np.concatenate(b)
+            share.append(bound[i, j] / both[i, j])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(share)
 
 
-def open_pairs(members: DataFrame, parts: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a block in different components that the bound does not exclude."""
-    rows = members.where("k >= 3").join(parts, "class", "left").select("shingle", "k", "class", F.coalesce("part", "class").alias("part"))
-    rows = staged(rows, "block-rows")
+def likeliest(a: np.ndarray, b: np.ndarray, share: np.ndarray, most: int) -> np.ndarray:
+    """Marks the pairs that are among the ``most`` of largest share of either end."""
+    keep = np.zeros(len(a), bool)
+    ends, pair = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((pair, -share[pair], ends))
+    start = np.flatnonzero(np.append(True, ends[order][1:] != ends[order][:-1])) if len(a) else np.zeros(0, np.int64)
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    keep[pair[order[place < most]]] = True
+    return keep
+
+
+def open_rows(members: DataFrame, parts: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows of blocks with several components, with part, size and vector."""
+    rows = staged(members.join(parts, "class", "left").select("shingle", "k", "class", F.coalesce("part", "class").alias("part")), "block-rows")
     mixed = rows.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle")
-    rows = staged(rows.join(mixed, "shingle").join(points, "class"), "open-blocks")
+    return staged(rows.join(mixed, "shingle").join(points, "class"), "open-blocks")
+
+
+def open_pairs(rows: DataFrame, points: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of a block in different components that the bound does not
+    exclude. With ``most``, a tile of a large block gives only the likeliest pairs
+    of each class; a row with ``cut`` names each block where that left some out."""
     small = rows.where(F.col("k") <= SMALL_BLOCK)  # so at most SMALL_BLOCK ** 2 / 2 pairs each
     other = small.select("shingle", F.col("class").alias("b"), F.col("part").alias("other"), F.col("size").alias("n"))
     ratio = (F.col("size") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("size") * percent)
@@ -318,17 +342,24 @@ def open_pairs(members: DataFrame, parts: DataFrame, points: DataFrame, percent:
         part, c, tile = (table.column(x).to_numpy() for x in ("part", "class", "tile"))
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         x, y = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
-        a, b = tree_join(v[x], size[x], part[x], v[y], size[y], part[y], percent)
+        a, b, share = tree_join(v[x], size[x], part[x], v[y], size[y], part[y], percent)
         a, b = c[x[a]], c[y[b]]
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        pairs = pd.DataFrame({"a": lo, "b": hi}).drop_duplicates()
-        return pa.Table.from_pandas(pairs, preserve_index=False)
+        pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "share": share}).drop_duplicates(["a", "b"])
+        whole = len(pairs)
+        if most is not None:
+            pairs = pairs[likeliest(*(pairs[k].to_numpy() for k in ("a", "b", "share")), most)]
+        out = pa.table({"a": pairs["a"].to_numpy(), "b": pairs["b"].to_numpy(), "cut": pa.nulls(len(pairs), pa.int64())})
+        if len(pairs) < whole:
+            mark = pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cut": table.column("shingle").slice(0, 1)})
+            out = pa.concat_tables([out, mark])
+        return out
 
     tiles = F.ceil(F.col("k") / TILE).cast("int")
     large = rows.where(F.col("k") > SMALL_BLOCK).withColumn("tile", F.pmod(F.xxhash64("class"), tiles).cast("int"))
     large = large.withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
     large = large.withColumn("i", F.least("tile", "with")).withColumn("j", F.greatest("tile", "with"))
-    return pairs.unionByName(large.groupBy("shingle", "i", "j").applyInArrow(join_tiles, "a long, b long")).distinct()
+    pairs = pairs.withColumn("cut", F.lit(None).cast("long"))
+    return pairs.unionByName(large.groupBy("shingle", "i", "j").applyInArrow(join_tiles, "a long, b long, cut long")).distinct()
 
 
 # --------------------------------------------------------------- components
@@ -379,10 +410,18 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     links = staged(verified(near, texts, n, percent), "links")
     parts = components(links)
 
-    more = open_pairs(members, parts, points, percent).join(stars, ["a", "b"], "left_anti")
-    more = staged(verified(staged(more, "open"), texts, n, percent), "links")
-    if more.head(1):
-        parts = components(links.unionByName(more))
+    left, tested = members.where("k >= 3"), stars
+    for most in WAVES:
+        found = staged(open_pairs(open_rows(left, parts, points), points, percent, most), "open")
+        more = found.where("cut is null").select("a", "b").join(tested, ["a", "b"], "left_anti")
+        new = staged(verified(more, texts, n, percent), "links")
+        if new.head(1):
+            links = links.unionByName(new)
+            parts = components(links)
+        cut = found.where("cut is not null").select(F.col("cut").alias("shingle"))
+        if not cut.head(1):
+            break
+        left, tested = left.join(cut, "shingle", "left_semi"), tested.unionByName(more)
 
     named = rows.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = named.join(parts, "class", "left").select("class", F.coalesce("part", "class").alias("part"), "least")
