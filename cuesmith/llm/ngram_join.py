@@ -15,8 +15,9 @@ link (Jaccard >= ``percent`` / 100) are found without comparing all pairs:
    shingles are hashed into ``GROUPS`` groups and group counts are points: two
    points overlap by at most the sum of coordinate minima, two nodes of the tree
    by that of their maxima. Nodes and points that cannot reach the threshold,
-   and node pairs inside one component, are skipped. A block is dealt to tasks
-   in tiles of ``TILE`` points, so no task holds a whole large block.
+   and node pairs inside one component, are skipped. Blocks with the same
+   smallest class are taken as one, so a pair is seen once for all of them, and
+   dealt to tasks in tiles of ``TILE`` points, so no task holds a large one whole.
    It gives pairs in waves: first the likeliest few of each class, whose links
    join components; then more, and at last all pairs still between components.
    Texts of a large group so meet few others, and no pair is left out.
@@ -42,6 +43,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -320,21 +322,31 @@ def likeliest(a: np.ndarray, b: np.ndarray, share: np.ndarray, most: int) -> np.
     return keep
 
 
-def open_rows(members: DataFrame, parts: DataFrame, points: DataFrame) -> DataFrame:
-    """The rows of blocks with several components, with part, size and vector."""
-    rows = staged(members.join(parts, "class", "left").select("shingle", "k", "class", F.coalesce("part", "class").alias("part")), "block-rows")
-    mixed = rows.groupBy("shingle").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("shingle")
-    return staged(rows.join(mixed, "shingle").join(points, "class"), "open-blocks")
+def hub_rows(members: DataFrame) -> DataFrame:
+    """(hub, class, k, shingles): the blocks of one hub as one, so that a pair of
+    theirs is looked at once; ``k`` classes, each with the sorted shingles it has
+    in those blocks (at most its own first ones)."""
+    rows = staged(members.groupBy("hub", "class").agg(F.sort_array(F.collect_set("shingle")).alias("shingles")), "hubs")
+    sizes = rows.groupBy("hub").agg(F.count("*").alias("k")).where("k >= 3")
+    return rows.join(sizes, "hub")
+
+
+def open_rows(hubs: DataFrame, parts: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows of hubs with several components, with part, size and vector."""
+    rows = staged(hubs.join(parts, "class", "left").withColumn("part", F.coalesce("part", "class")), "hub-rows")
+    mixed = rows.groupBy("hub").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("hub")
+    return staged(rows.join(mixed, "hub").join(points, "class"), "open-hubs")
 
 
 def open_pairs(rows: DataFrame, points: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b) of a block in different components that the bound does not
-    exclude. With ``most``, a tile of a large block gives only the likeliest pairs
-    of each class; a row with ``cut`` names each block where that left some out."""
+    exclude. With ``most``, a tile of a large hub gives only the likeliest pairs
+    of each class; a row with ``cut`` names each hub where that left some out."""
     small = rows.where(F.col("k") <= SMALL_BLOCK)  # so at most SMALL_BLOCK ** 2 / 2 pairs each
-    other = small.select("shingle", F.col("class").alias("b"), F.col("part").alias("other"), F.col("size").alias("n"))
+    other = small.select("hub", F.col("class").alias("b"), F.col("part").alias("other"), F.col("size").alias("n"), F.col("shingles").alias("theirs"))
     ratio = (F.col("size") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("size") * percent)
-    pairs = small.join(other, "shingle").where((F.col("class") < F.col("b")) & (F.col("part") != F.col("other")) & ratio)
+    apart = (F.col("class") < F.col("b")) & (F.col("part") != F.col("other")) & ratio
+    pairs = small.join(other, "hub").where(apart & F.arrays_overlap("shingles", "theirs"))
     pairs = bounded(pairs.select(F.col("class").alias("a"), "b").distinct(), points, percent)
 
     def join_tiles(table: pa.Table) -> pa.Table:
@@ -343,14 +355,17 @@ def open_pairs(rows: DataFrame, points: DataFrame, percent: int, most: int | Non
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         x, y = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
         a, b, share = tree_join(v[x], size[x], part[x], v[y], size[y], part[y], percent)
-        a, b = c[x[a]], c[y[b]]
+        a, b = x[a], y[b]
+        start, shingles = np.append(0, np.cumsum(pc.list_value_length(table.column("shingles")).to_numpy())), pc.list_flatten(table.column("shingles")).to_numpy()
+        shared = np.array([len(np.intersect1d(shingles[start[m] : start[m + 1]], shingles[start[o] : start[o + 1]], True)) > 0 for m, o in zip(a.tolist(), b.tolist())], bool)
+        a, b, share = c[a[shared]], c[b[shared]], share[shared]
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "share": share}).drop_duplicates(["a", "b"])
         whole = len(pairs)
         if most is not None:
             pairs = pairs[likeliest(*(pairs[k].to_numpy() for k in ("a", "b", "share")), most)]
         out = pa.table({"a": pairs["a"].to_numpy(), "b": pairs["b"].to_numpy(), "cut": pa.nulls(len(pairs), pa.int64())})
         if len(pairs) < whole:
-            mark = pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cut": table.column("shingle").slice(0, 1)})
+            mark = pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "cut": table.column("hub").slice(0, 1)})
             out = pa.concat_tables([out, mark])
         return out
 
@@ -359,7 +374,7 @@ def open_pairs(rows: DataFrame, points: DataFrame, percent: int, most: int | Non
     large = large.withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
     large = large.withColumn("i", F.least("tile", "with")).withColumn("j", F.greatest("tile", "with"))
     pairs = pairs.withColumn("cut", F.lit(None).cast("long"))
-    return pairs.unionByName(large.groupBy("shingle", "i", "j").applyInArrow(join_tiles, "a long, b long, cut long")).distinct()
+    return pairs.unionByName(large.groupBy("hub", "i", "j").applyInArrow(join_tiles, "a long, b long, cut long")).distinct()
 
 
 # --------------------------------------------------------------- components
@@ -402,15 +417,15 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     points = staged(rows.where("vector is not null").select("class", "size", "vector").dropDuplicates(["class"]), "points")
 
     firsts = staged(prefixes(docs, n, percent, ranks(spark, table)), "prefixes")
-    blocks = firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.count("*").alias("k"), F.max("class").alias("other")).where("hub < other")
-    members = staged(firsts.join(blocks.select("shingle", "hub", "k"), "shingle"), "members")
+    blocks = firsts.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("other")).where("hub < other")
+    members = staged(firsts.join(blocks.select("shingle", "hub"), "shingle"), "members")
     stars = staged(members.where("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), "stars")
     near = staged(bounded(stars, points, percent), "near")
     texts = staged(packed_texts(docs, n, members.select("class")), "texts")
     links = staged(verified(near, texts, n, percent), "links")
     parts = components(links)
 
-    left, tested = members.where("k >= 3"), stars
+    left, tested = staged(hub_rows(members), "hub-sizes"), stars
     for most in WAVES:
         found = staged(open_pairs(open_rows(left, parts, points), points, percent, most), "open")
         more = found.where("cut is null").select("a", "b").join(tested, ["a", "b"], "left_anti")
@@ -418,10 +433,10 @@ def similar(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         if new.head(1):
             links = links.unionByName(new)
             parts = components(links)
-        cut = found.where("cut is not null").select(F.col("cut").alias("shingle"))
+        cut = found.where("cut is not null").select(F.col("cut").alias("hub"))
         if not cut.head(1):
             break
-        left, tested = left.join(cut, "shingle", "left_semi"), tested.unionByName(more)
+        left, tested = left.join(cut, "hub", "left_semi"), tested.unionByName(more)
 
     named = rows.where("size > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     named = named.join(parts, "class", "left").select("class", F.coalesce("part", "class").alias("part"), "least")
