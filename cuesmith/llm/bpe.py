@@ -4,8 +4,9 @@ A byte-level BPE works word by word: the library cuts a text with one pattern
 and merges inside each cut piece. Here the cutting is done for many texts at
 once with numpy, each distinct piece goes once through the library's model, and
 the ids are put together by index. A text with a character whose class changed
-between Unicode versions (or beyond U+2FFF) goes through the library as a
-whole, so ids always equal ``Tokenizer.encode``.
+between Unicode versions (or beyond U+2FFF), and one that holds an added token
+(``<|endoftext|>``), goes through the library as a whole, so ids always equal
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.model = self.whole.model
         self.size = self.whole.get_vocab_size()
         self.classes = _classes()
@@ -137,6 +138,11 @@ class Encoder:
         np.cumsum(sizes, out=total[1:])
         out_at = total[np.searchsorted(starts, at)]
         unsure = c == UNSURE
+        for content in self.added:  # one that spans two texts only sends the first through the library
+            i = text.find(content)
+            while i >= 0:
+                unsure[i] = True
+                i = text.find(content, i + 1)
         if unsure.any():
             return self._redo(text, at, unsure, ids, out_at)
         return ids, out_at

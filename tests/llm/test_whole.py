@@ -1,0 +1,39 @@
+"""Inputs that the given tables do not hold."""
+
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from cuesmith.llm import bpe, huffman, packing
+from cuesmith.llm.common import text_chunks
+
+ADDED = ["a <|endoftext|> b", "plain text", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "ends with <|endof", "text|> begins", "", None, "éあ<|endoftext|>", "plain text"]
+
+
+def plain_ids():
+    whole = Tokenizer.from_file(bpe.default_path())
+    return [whole.encode(t or "", add_special_tokens=False).ids for t in ADDED]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_added_tokens():
+    (_, _, data, offsets), = text_chunks(pa.array(ADDED))
+    ids, at = bpe.encoder(bpe.default_path()).encode(data, offsets)
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == plain_ids()
+    assert plain_ids()[0] == [64, 220, 50256, 275]
+
+
+def test_added_tokens_in_files_and_packing(spark):
+    docs = spark.createDataFrame(list(enumerate(ADDED)), "doc_id long, text string")
+    want, start = [], 0
+    for i, ids in enumerate(plain_ids()):
+        want.append((i, start, len(ids) + 1, crc([*ids, 0])))
+        start += len(ids) + 1
+    assert sorted(map(tuple, huffman.round_trip(docs, end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
+    got = packing.pack(docs, end_id=2).select("doc_id", "length", "ids_crc32", "ids").collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32, r.ids) for r in got) == [(i, len(x) + 1, crc([*x, 2]), [*x, 2]) for i, x in enumerate(plain_ids())]
