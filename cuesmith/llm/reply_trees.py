@@ -14,7 +14,8 @@ character, so no text can open or close a message and the original comes back
 exactly. Loss spans cover the escaped text of assistant messages, in code points
 of the formatted string.
 
-Cases: null texts and roles count as empty; a parent that is not there makes its
+Cases: null texts and roles count as empty; messages whose tree is null are one
+tree; a parent that is not there makes its
 child a root; messages on a circle of answers belong to no tree and take no part;
 equal (tree, message) ids are one message each if their rows are numbered first
 (:func:`chain` does so); an empty table gives no row; other columns are not
@@ -68,8 +69,17 @@ def chain(turns: DataFrame) -> DataFrame:
     return turns.select(F.col("conv_id").alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``tree`` as a struct that is never null, so that joins on it keep the null tree."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").alias("id")))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, root, leaf, pos, node) for every root-to-leaf path; ``pos`` 0 is the root."""
+    return _paths(_keyed(nodes)).withColumn("tree", F.col("tree.id"))
+
+
+def _paths(nodes: DataFrame) -> DataFrame:
     links = nodes.select("tree", "node", "parent")
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     links = links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"))
@@ -103,7 +113,8 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
     ``nodes``: tree, node, parent (null: a root), role, text, score.
     """
-    walked = staged(paths(nodes), "paths")
+    nodes = _keyed(nodes)
+    walked = staged(_paths(nodes), "paths")
     texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
     branch = walked.join(texts.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "root", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n_turns"))
     rank = Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
@@ -120,6 +131,6 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     turn = F.struct("pos", "said", "loss", "at", (F.col("at") + F.col("size")).alias("end"))
     whole = rows.groupBy("tree", "leaf").agg(F.first("n_turns").alias("n_turns"), F.array_sort(F.collect_list(turn)).alias("turns"))
     return whole.select(
-        "tree", "leaf", "n_turns", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"),
+        F.col("tree.id").alias("tree"), "leaf", "n_turns", F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["at"].alias("start"), t["end"].alias("end"))).alias("spans"),
     )

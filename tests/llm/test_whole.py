@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from compare import from_spark, from_sql
 from cuesmith.llm import bpe, huffman, packing
 from cuesmith.llm.common import text_chunks
+from cuesmith.llm.queries import ORACLE_SQL, QUERIES
 
 ADDED = ["a <|endoftext|> b", "plain text", "<|endoftext|>", "x<|endoftext|>y<|endoftext|>", "ends with <|endof", "text|> begins", "", None, "éあ<|endoftext|>", "plain text"]
 
@@ -37,3 +39,12 @@ def test_added_tokens_in_files_and_packing(spark):
     assert sorted(map(tuple, huffman.round_trip(docs, end_id=0).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == want
     got = packing.pack(docs, end_id=2).select("doc_id", "length", "ids_crc32", "ids").collect()
     assert sorted((r.doc_id, r.length, r.ids_crc32, r.ids) for r in got) == [(i, len(x) + 1, crc([*x, 2]), [*x, 2]) for i, x in enumerate(plain_ids())]
+
+
+def test_null_conversation_equals_sql(spark, tmp_path):
+    rows = [(None, 1, "assistant", "b"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", "c"), (7, 1, None, None), (0, 0, "assistant", "[INST]")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/all")
+    (part,) = (tmp_path / "all").glob("*.parquet")
+    part.rename(tmp_path / "conversations.parquet")
+    got = from_spark(QUERIES["op9_chat_format"](spark, str(tmp_path)))
+    assert got == from_sql(ORACLE_SQL["op9_chat_format"], str(tmp_path))
