@@ -1,8 +1,9 @@
 """PII: keyed surrogates for detected entities, with DataFrame functions alone.
 
-Entities are e-mail addresses, IPv4 and international phone numbers, US social
-security numbers, IBANs, runs of 13 to 19 digits (cards, accounts), assigned
-secrets (``token = "..."``) and names: capitalised words after a title, or after
+Entities are e-mail addresses, IPv4 and phone numbers (international, and the
+national forms of ``PATTERNS``), US social security numbers, IBANs, runs of 13 to
+19 digits (cards, accounts), assigned secrets (``token = "..."``, key words in any
+case and in JSON, at least six letters or digits) and names: capitalised words after a title, or after
 a given name of ``GIVEN``.
 
 A surrogate has its original's form: digits become digits, letters become letters
@@ -72,20 +73,35 @@ def _any_of(words) -> str:
     return "|".join(sorted((w.replace(".", r"\.") for w in words), key=lambda w: (-len(w), w)))
 
 
+#: Signs of a secret, the quote around one, and a key word with what separates it from its value.
+_SIGN = "[A-Za-z0-9_/+-]"
+_QUOTE = r"\\?[\"']"
+_KEY = rf"(?i:{{}})(?:{_QUOTE})?\s{{{{0,3}}}}[=:]\s{{{{0,3}}}}"
+
 #: Kinds in the order in which they are tried at a place; names last. Each starts at a
 #: fixed sign or cannot start inside a run of its own signs, so a scan stays linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{16})(?<=(?:token|secret|key|password|passwd)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_/+-]{16,256}+(?![A-Za-z0-9_/+-])",
+    "quoted": rf"(?<={_KEY.format('password|passwd|secret|token')}{_QUOTE})(?=(?:[^\s\"'\\A-Za-z0-9]*+[A-Za-z0-9]){{6}})[^\s\"'\\]++(?=\\?[\"'])",
+    "secret": rf"(?<!{_SIGN})(?={_SIGN}{{16}}|(?={_SIGN}{{6}})(?=[0-9_/+-]*+[A-Za-z])[A-Za-z_/+-]*+[0-9])(?=(?:[_/+-]*+[A-Za-z0-9]){{6}})(?<={_KEY.format('token|secret|key|password|passwd')}(?:{_QUOTE})?){_SIGN}++(?:\.{_SIGN}++)*+={{0,2}}",
     "ip": rf"(?<![\p{{L}}0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
-    "phone": r"(?<![\p{L}0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
+    "phone": (
+        r"(?=[+(0-9])(?:(?<![\p{L}0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
+        r"|(?<![\p{L}0-9+-]|[0-9]\.)(?:(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?[0-9]{3}[ .-]|[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3}[ -]))[0-9]{4}"
+        r"|0[1-9](?:[ .-][0-9]{2}){4}|(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9]{3,4}[ -]?[0-9]{3,5})(?![.-][0-9]))(?![0-9])"
+    ),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "number": r"(?<![0-9.+-])(?:[0-9]{13,19}|[0-9]{4}(?:([ -])[0-9]{4})(?:\1[0-9]{4}){2})(?![0-9])",
     "name": rf"(?<!\p{{L}})(?:(?:{_any_of(' '.join(TITLES.values()).split())}) {_NAME}(?: {_NAME}){{0,2}}|(?:{_any_of(' '.join(GIVEN.values()).split())}) {_NAME})",
 }
-#: All but phone numbers begin with a letter or digit that none stands before.
-PII = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{L}}\p{{N}}])(?:{'|'.join(p for k, p in PATTERNS.items() if k != 'phone')})|{PATTERNS['phone']}"
+#: Names and numbers begin with a letter or digit that none stands before; addresses and
+#: secrets with any of their signs; quoted secrets and phone numbers where they say.
+_REST = "|".join(p for k, p in PATTERNS.items() if k not in ("email", "quoted", "secret", "phone"))
+PII = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?<=[\"']){PATTERNS['quoted']}|(?=[\p{{L}}\p{{N}}._%+/-])(?:{PATTERNS['email']}|{PATTERNS['secret']})"
+    rf"|(?=[\p{{L}}\p{{N}}])(?:{_REST}))|{PATTERNS['phone']}"
+)
 
 
 def _let(value: Column, use) -> Column:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from compare import from_spark, from_sql
-from cuesmith.llm import bpe, huffman, packing
+from cuesmith.llm import bpe, huffman, packing, surrogates
 from cuesmith.llm.common import text_chunks
 from cuesmith.llm.queries import ORACLE_SQL, QUERIES
 
@@ -48,3 +48,26 @@ def test_null_conversation_equals_sql(spark, tmp_path):
     part.rename(tmp_path / "conversations.parquet")
     got = from_spark(QUERIES["op9_chat_format"](spark, str(tmp_path)))
     assert got == from_sql(ORACLE_SQL["op9_chat_format"], str(tmp_path))
+
+
+HEX = "0123456789abcdef0123456789abcdef"
+#: Text and what must not be left of it.
+FORMS = [
+    (f"API_KEY={HEX}", HEX), (f"Token: {HEX}", HEX), (f'{{"token": "{HEX}"}}', HEX), (f'{{\\"token\\": \\"{HEX}\\"}}', HEX),
+    ("password=hunter2 ok", "hunter2"), ('PASSWORD = "correct!horse"', "correct!horse"), ("key=" + "aB3" * 200, "aB3aB3"),
+    *((f"secret = {sign}{HEX}", HEX) for sign in "/+-_"),
+    ("token=eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4", "eyJzdWIiOiIxMjM0In0"),
+    ("token=eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.SflKxwRJSMeKKF2QT4", "SflKxwRJSMeKKF2QT4"),
+    *((f"to {sign}anna.lee@mail.example.com now", "anna.lee") for sign in "_%+-."),
+    *((f"call {p}, please", p) for p in ("(212) 555-0199", "212-555-0199", "212.555.0199", "1-800-555-0199", "01 23 45 67 89", "020 7946 0958", "0171/1234567", "(030) 1234567")),
+]
+PLAIN = ["The key: remember to lock", "key: ----------------", "password: required", "in 2024-01-05 and 10,000 of 250 300", "version 1.2.3", "a token = of thanks", '{"key": "name"}']
+
+
+def test_forms_of_personal_data(spark):
+    texts = [t for t, _ in FORMS] + PLAIN
+    out = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()
+    got = {r.doc_id: r.text for r in out}
+    assert [i for i, (_, found) in enumerate(FORMS) if found in got[i]] == []
+    assert [len(got[i]) for i in range(len(texts))] == [len(t) for t in texts]
+    assert [got[len(FORMS) + i] for i in range(len(PLAIN))] == PLAIN
