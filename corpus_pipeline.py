@@ -25,13 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group that five-word shingles
-    link at 80 percent; repeated rows of it are one. Documents without words and
-    rows without doc_id stay."""
+    """The row with the smallest doc_id (null last) of each group that five-word
+    shingles link at 80 percent. Rows are told apart by doc_id and text, so equal
+    ones are one and different texts of one doc_id are not; rows without words stay."""
     ship(spark)
-    keep = ngram_join.similar(docs.where("doc_id is not null"), n=5, percent=80).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    first = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), key.alias("key")).alias("row")).distinct()
+    found = ngram_join.similar(docs.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    found = found.join(rows, found["doc_id"] == rows["row.key"])  # rows without words are components of their own
+    keep = found.groupBy("component_id").agg(F.min("row").alias("row")).select(F.col("row.key").alias("kept_key"))
+    return docs.join(keep, key == keep["kept_key"], "left_semi").withColumn("kept_key", key).dropDuplicates(["kept_key"]).drop("kept_key")
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from compare import from_spark, from_sql
 from cuesmith.llm import bpe, huffman, packing, surrogates
 from cuesmith.llm.common import text_chunks
@@ -71,3 +72,14 @@ def test_forms_of_personal_data(spark):
     assert [i for i, (_, found) in enumerate(FORMS) if found in got[i]] == []
     assert [len(got[i]) for i in range(len(texts))] == [len(t) for t in texts]
     assert [got[len(FORMS) + i] for i in range(len(PLAIN))] == PLAIN
+
+
+def test_near_copies_of_odd_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (2, a + " more", "y"), (None, c, "z"), (None, c + " more", "z"), (None, b, "z"), (3, "", "q"), (3, None, "q"), (None, "", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = corpus_pipeline.drop_near_copies(spark, docs, "")
+    got = [tuple(r) for r in out.collect()]
+    of_c = [r for r in got if r[0] is None and r[1]]
+    assert out.columns == docs.columns and len(of_c) == 1 and of_c[0] in rows[4:6]
+    assert sorted((r for r in got if r not in of_c), key=str) == sorted([rows[0], rows[1], rows[7], rows[8], rows[9]], key=str)
