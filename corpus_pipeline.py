@@ -13,7 +13,7 @@ from cuesmith.llm import decontam, ngram_join, packing, surrogates, toxicity
 from cuesmith.llm.common import new_path, table
 from cuesmith.session import ship
 
-#: Learning, sorting out and packing cannot be said in SQL; the tests hold the stages against plain Python.
+#: Learning, sorting out and packing cannot be said in SQL; the tests look at columns, row counts and sequence sums, and at odd rows of two stages.
 ORACLE_SQL = None
 
 
