@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 import pandas as pd
 
-from cuesmith.llm.common import mix64, ragged_arange, segment_hash
+from cuesmith.llm.common import bytes_hash, ragged_arange
 
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 LIMIT = 0x3000
@@ -107,17 +107,18 @@ class Encoder:
         text = data.tobytes().decode("utf-8")
         cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         if len(cps) == len(data):
-            at = offsets
+            at, byte = offsets, None
         else:
-            lead = np.zeros(len(data) + 1, np.int64)
-            np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-            at = lead[offsets]
+            lead = (data & 0xC0) != 0x80
+            at = np.append(0, np.cumsum(lead))[offsets]
+            byte = np.flatnonzero(lead)
         c = self.classes[np.minimum(cps, LIMIT)]
         first = np.zeros(len(cps), bool)
         first[at[:-1][at[:-1] < len(cps)]] = True
         starts = self._starts(cps, c, first)
         ends = np.append(starts[1:], len(cps))
-        h = segment_hash(mix64(cps.astype(np.uint64) + np.uint64(1)), starts, ends)
+        begins = starts if byte is None else byte[starts]
+        h = bytes_hash(data, begins, np.append(begins[1:], len(data)))
         codes, distinct = pd.factorize(h)
         if len(self.known) > MOST_PIECES:
             self.reset()

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import hashlib
 import tempfile
 import uuid
 
@@ -23,13 +24,16 @@ _STAGED: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for staged tables: ``spark.checkpoint.dir``; only where the
-    session has none (tests) a temporary one is made and set."""
+    """The folder for staged tables: ``spark.checkpoint.dir``. Where the session has
+    none, a temporary one is made and set if Spark is local; on a cluster a folder
+    of one machine would not do, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         own = spark.sparkContext.getCheckpointDir()
     return own
@@ -89,21 +93,6 @@ def held_out(doc_id: str = "doc_id"):
 
 # ---------------------------------------------------------------- numpy text
 
-P = 0x9E3779B97F4A7C15 | 1
-PINV = pow(P, -1, 1 << 64)
-_POW: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW["p"]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("p", P), ("q", PINV)):
-            arr = np.full(size, base, np.uint64)
-            arr[0] = 1
-            _POW[key] = np.multiply.accumulate(arr)
-    return _POW["p"][:n], _POW["q"][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> np.uint64(33))
@@ -114,9 +103,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: One random-looking 64-bit value for each byte.
-BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
 #: Lower-cases A-Z and nothing else.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -135,15 +121,35 @@ SPACE_WORDS = ~byte_set((0x20, 0x20), (0x09, 0x0D))
 ALNUM_WORDS = ~byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 
-def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each slice ``values[start:end]``: polynomial prefix sums
-    modulo 2**64, so the cost does not depend on how slices overlap."""
-    n = len(values)
-    power, inverse = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * power[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+#: Slices over this many bytes are hashed one by one with BLAKE2b.
+LONG_SLICE = 64
+
+
+def bytes_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each slice ``data[start:end]`` of bytes: eight bytes at a time
+    go through a nonlinear mixer, so equal sums of bytes or powers do not meet."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+
+    def part(at, left):
+        spare = (8 * (8 - np.clip(left, 1, 8))).astype(np.uint64)
+        return (eight[at] << spare) >> spare
+
+    with np.errstate(over="ignore"):
+        h = mix64(np.where(size > 0, part(starts, size), np.uint64(0)) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        todo = np.flatnonzero((size > 8) & (size <= LONG_SLICE))
+        for k in range(8, LONG_SLICE, 8):
+            if not len(todo):
+                break
+            h[todo] = mix64(h[todo] * np.uint64(0xD6E8FEB86659FD93) + part(starts[todo] + k, size[todo] - k))
+            todo = todo[size[todo] > k + 8]
+        for i in np.flatnonzero(size > LONG_SLICE).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 class Words:
@@ -167,21 +173,17 @@ class Words:
         self.starts = np.flatnonzero(begin)
         self.ends = np.flatnonzero(stop) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        self.hash = segment_hash(BYTE_VALUES[data], self.starts, self.ends)
+        self.hash = bytes_hash(data, self.starts, self.ends)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 _LIBC = ctypes.CDLL(ctypes.util.find_library("c") or None)
-#: Powers kept between calls; what one longer text needs is dropped after it.
-MOST_POWERS = 1 << 20
 
 
 def give_back() -> None:
     """Return free memory to the system: idle workers share an executor's limit with its JVM."""
-    if _POW and len(_POW["p"]) > MOST_POWERS:
-        _POW.clear()
     pa.default_memory_pool().release_unused()
     if hasattr(_LIBC, "malloc_trim"):
         _LIBC.malloc_trim(0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesmith.llm.common import BYTE_VALUES, Words, byte_set, clear_columns, held_out, mix64, ragged_arange, segment_hash, text_chunks
+from cuesmith.llm.common import Words, byte_set, bytes_hash, clear_columns, held_out, mix64, ragged_arange, text_chunks
 
 SAMPLE = 3000
 BUCKETS = 1 << 17
@@ -45,12 +45,12 @@ LETTERS = byte_set((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 def features(words: Words, pick: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of the picked words, one after the other, and where each word's begin."""
-    values, starts, ends = BYTE_VALUES[words.data], words.starts[pick], words.ends[pick]
+    starts, ends = words.starts[pick], words.ends[pick]
     size, n = ends - starts, len(pick)
     kinds: list[tuple[np.ndarray, np.ndarray]] = [(np.arange(n), words.hash[pick])]  # (word, hash)
 
     def add(kind: int, owner: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-        kinds.append((owner, segment_hash(values, a, b) ^ mix64(np.array([kind], np.uint64))))
+        kinds.append((owner, bytes_hash(words.data, a, b) ^ mix64(np.array([kind], np.uint64))))
 
     for k in range(1, AFFIX + 1):
         long = np.flatnonzero(size > k)
