@@ -157,6 +157,7 @@ class Words:
     (``first[i]:first[i+1]`` are the words of text ``i``)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray, lower: bool = True):
+        self.raw, self.offsets = data, offsets
         if lower:
             data = LOWER[data]
         n = len(data)

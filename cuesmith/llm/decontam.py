@@ -6,28 +6,37 @@ sequence of symbols: one for each word of the benchmark, and a separator. Words
 that no item holds cannot be part of an occurrence, so runs of benchmark words
 are all that is indexed, and only those as long as the shortest window. The
 index is the Burrows-Wheeler transform of that sequence in a wavelet matrix:
-backward search finds all windows together, positions come from sampled suffix
-positions by walking back, and overlapping occurrences merge into removal spans.
+backward search finds together all windows whose words the shard holds, positions
+come from sampled suffix positions by walking back, and overlapping occurrences
+merge into removal spans.
 
 Nothing is shuffled: shards are independent. The benchmark travels to every task
-and has to fit ``MOST_BENCHMARK_BYTES`` (checked before it is collected).
+in parts of about ``PART_BYTES`` of text (an item is never split; its size is
+checked before anything is collected). With several parts the corpus is passed
+over once for each; what one has found goes along, as spans of word positions,
+through a staged table, and the next merges its own into it.
 
 Cases: null and empty texts have no words and are clean; items without words
 have no window; repeated rows are judged each on their own; a null ``item_id``
-counts as the empty string; an empty benchmark leaves all clean; columns with
-clashing names do not matter, ``remove`` keeps them as they are.
+counts as the empty string; an empty benchmark leaves all clean, as does one
+without any word of the corpus; shards of any size, shorter than a window too, are
+searched; columns with clashing names do not matter, ``remove`` keeps them as
+they are. ``remove`` cuts what occurs in a text as it stands: words that a cut
+brings together are not searched again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesmith.llm.common import ALNUM_WORDS, Words, clear_columns, ragged_arange, text_chunks
+from cuesmith.llm.common import ALNUM_WORDS, Words, clear_columns, ragged_arange, staged, text_chunks
 
-MOST_BENCHMARK_BYTES = 256 << 20
+PART_BYTES = 8 << 20
 SAMPLE = 16
 END, GAP, WORD = 0, 1, 2  # symbols: the end, the separator, the first word
 SHARD_BYTES = (2 << 20) - 1
@@ -71,7 +80,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     width = max(1, int(symbols.max()).bit_length())
     h = max(1, 62 // width)
     key = np.zeros(n, np.int64)
-    for k in range(h):
+    for k in range(min(h, n)):
         key = key << width
         key[: n - k] |= symbols[k:]
     while True:
@@ -122,30 +131,30 @@ class FMIndex:
 
 
 class Phrases:
-    """The benchmark: its words, and its windows by length with the items that hold them."""
+    """A part of the benchmark: its words, and its windows by length with the items that hold them."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(names)}
-        column = pa.array([text for _, text in items], pa.string())
-        seen: dict[int, dict[tuple, set[int]]] = {}
-        vocabulary: dict[int, int] = {}
-        for lo, _, data, offsets in text_chunks(column):
-            words = Words(data, offsets, ALNUM_WORDS)
-            for i in range(len(offsets) - 1):
-                ids = [vocabulary.setdefault(h, len(vocabulary) + WORD) for h in words.hash[words.first[i] : words.first[i + 1]].tolist()]
-                m = min(window, len(ids))
-                for k in range(len(ids) - m + 1 if m else 0):
-                    seen.setdefault(m, {}).setdefault(tuple(ids[k : k + m]), set()).add(number[items[lo + i][0]])
-        self.names = np.array(names, object)
-        hashes = np.fromiter(vocabulary, np.uint64, len(vocabulary))
-        order = np.argsort(hashes)
-        self.hashes, self.symbols = hashes[order], order + WORD
-        self.sigma = len(vocabulary) + WORD
+        self.names = np.array(sorted({name for name, _ in items}), object)
+        number = np.searchsorted(self.names, np.array([name for name, _ in items], object))
+        chunks = [(lo, Words(d, o, ALNUM_WORDS)) for lo, _, d, o in text_chunks(pa.array([text for _, text in items], pa.string()), PART_BYTES)]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[w.hash for _, w in chunks]])
+        owner = np.concatenate([np.zeros(0, np.int64), *[w.owner() + lo for lo, w in chunks]])
+        self.hashes, ids = np.unique(hashes, return_inverse=True)
+        ids = ids + WORD
+        self.sigma = len(self.hashes) + WORD
+        first = np.searchsorted(owner, np.arange(len(items) + 1))
+        size = np.diff(first)
         self.groups = []  # (length, patterns, offsets of each pattern's items, items)
-        for m in sorted(seen):
-            held = [sorted(x) for x in seen[m].values()]
-            self.groups.append((m, np.array(list(seen[m]), np.int64), np.concatenate([[0], np.cumsum([len(x) for x in held])]), np.array(sum(held, []), np.int64)))
+        for m in np.unique(np.minimum(size, window)):
+            mine = np.flatnonzero(np.minimum(size, window) == m)
+            if m:
+                many = size[mine] - m + 1
+                start = np.repeat(first[mine], many) + ragged_arange(many)
+                rows = np.ascontiguousarray(ids[start[:, None] + np.arange(m)].astype(np.int32))
+                patterns, kind = np.unique(rows, axis=0, return_inverse=True)
+                pairs = np.unique(kind.ravel().astype(np.int64) * len(self.names) + np.repeat(number[mine], many))
+                held = np.searchsorted(pairs // len(self.names), np.arange(len(patterns) + 1))
+                self.groups.append((int(m), patterns, held, pairs % len(self.names)))
 
     def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(whether each word is hit, sorted distinct text * number of items + item)."""
@@ -164,17 +173,21 @@ class Phrases:
         if not len(start):
             return hit[:-1] > 0, np.zeros(0, np.int64)
         place = np.repeat(start, size + 1) + ragged_arange(size + 1)  # each run and the gap after it
-        symbols = np.append(self.symbols[at[np.minimum(place, len(at) - 1)]], END)
+        symbols = np.append(at[np.minimum(place, len(at) - 1)] + WORD, END)
         symbols[np.cumsum(size + 1) - 1] = GAP
         index = FMIndex(symbols, self.sigma)
-        owner, pairs = words.owner(), []
+        here = np.zeros(self.sigma, bool)
+        here[symbols] = True
+        owner, pairs = words.owner(), [np.zeros(0, np.int64)]
         for m, patterns, offsets, items in self.groups:
-            lo, hi = index.find(patterns)
+            look = np.flatnonzero(here[patterns].all(1))
+            lo, hi = index.find(patterns[look].astype(np.int64))
             n = hi - lo
             which = np.repeat(np.arange(len(n)), n)
             word = place[index.locate(lo[which] + ragged_arange(n))]
             np.add.at(hit, word, 1)
             np.add.at(hit, word + m, -1)
+            which = look[which]
             many = np.diff(offsets)[which]
             pairs.append(np.unique(np.repeat(owner[word], many) * len(self.names) + items[np.repeat(offsets[which], many) + ragged_arange(many)]))
         return np.cumsum(hit[:-1]) > 0, np.unique(np.concatenate(pairs))
@@ -191,65 +204,98 @@ def _spans(words: Words, hit: np.ndarray, i: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist()))
 
 
-def collect_phrases(benchmark: DataFrame, window: int) -> Phrases:
+def parts_of(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
+    """The benchmark in parts of about ``PART_BYTES``, one in the driver at a time."""
     items = clear_columns(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    if size > MOST_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; scan it in parts of at most {MOST_BENCHMARK_BYTES}")
-    return Phrases([(r.item_id, r.text) for r in items.collect()], window)
+    many = max(1, -(-size // PART_BYTES))
+    for k in range(many):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(many)) == k)
+        yield Phrases([(r.item_id, r.text) for r in part.collect()], window)
+
+
+def _found(batch: pa.RecordBatch, phrases: Phrases):
+    """For each shard of a batch: first and last row, words, whether each is hit, items of each text;
+    all with what earlier parts have found."""
+    for lo, hi, data, offsets in text_chunks(batch.column("_text"), SHARD_BYTES):
+        words = Words(data, offsets, ALNUM_WORDS)
+        hit, pairs = phrases.hits(words)
+        items = [set(x or ()) for x in batch.column("_items").slice(lo, hi - lo).to_pylist()]
+        for x in pairs.tolist():
+            items[x // len(phrases.names)].add(phrases.names[x % len(phrases.names)])
+        for i, spans in enumerate(batch.column("_hit").slice(lo, hi - lo).to_pylist()):
+            for a, b in zip((spans or ())[::2], (spans or ())[1::2]):
+                hit[words.first[i] + a : words.first[i] + b] = True
+        yield lo, hi, words, hit, [sorted(x) for x in items]
+
+
+def _passes(rows: DataFrame, benchmark: DataFrame, window: int):
+    """``rows`` (row, text) after all parts of the benchmark but the last, and the last part, broadcast."""
+    spark = rows.sparkSession
+    carried = rows.withColumn("_hit", F.lit(None).cast("array<int>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    schema, last = carried.schema, None
+    for phrases in parts_of(benchmark, window):
+        if last is not None:
+            carried = staged(carried.mapInArrow(_marker(last), schema), "decontamination")
+        last = spark.sparkContext.broadcast(phrases)
+    return carried, last
+
+
+def _marker(phrases):
+    def run(batches):
+        for batch in batches:
+            for lo, hi, words, hit, items in _found(batch, phrases.value):
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                owner = np.append(words.owner(), hi - lo)
+                spans = [[] for _ in range(hi - lo)]
+                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                    for i in range(owner[a], owner[b - 1] + 1):  # a run may go over from one text to the next
+                        spans[i] += [max(a, words.first[i]) - words.first[i], min(b, words.first[i + 1]) - words.first[i]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in ("_row", "_text")], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], ["_row", "_text", "_hit", "_items"])
+
+    return run
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, item_ids (sorted as strings), spans (UTF-8 byte offsets to remove)."""
-    spark = docs.sparkSession
-    phrases = spark.sparkContext.broadcast(collect_phrases(benchmark, window))
+    rows = clear_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("_row"), F.col("text").cast("string").alias("_text"))
+    carried, phrases = _passes(rows, benchmark, window)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
-        p = phrases.value
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(1), SHARD_BYTES):
-                words = Words(data, offsets, ALNUM_WORDS)
-                hit, pairs = p.hits(words)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = np.diff(total[words.first])
-                items = [[] for _ in range(hi - lo)]
-                for x in pairs.tolist():
-                    items[x // len(p.names)].append(p.names[x % len(p.names)])
-                spans = [[{"start": a - offsets[i], "end": b - offsets[i]} for a, b in _spans(words, hit, i)] if n_hit[i] else [] for i in range(hi - lo)]
+            for lo, hi, words, hit, items in _found(batch, phrases.value):
+                n_hit = np.diff(np.concatenate([[0], np.cumsum(hit)])[words.first])
+                spans = [[{"start": a - words.offsets[i], "end": b - words.offsets[i]} for a, b in _spans(words, hit, i)] if n_hit[i] else [] for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))],
+                    [batch.column("_row").slice(lo, hi - lo), pa.array(np.diff(words.first)), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(span))],
                     ["doc_id", "n_words", "n_hit", "item_ids", "spans"],
                 )
 
-    schema = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>"
-    return clear_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return carried.mapInArrow(run, "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:int,end:int>>")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with every hit passage cut out of ``text``; all columns and rows stay."""
-    spark = docs.sparkSession
-    phrases = spark.sparkContext.broadcast(collect_phrases(benchmark, window))
-    at = docs.columns.index("text")
+    others = F.struct(*[F.col(f"`{n}`") for n in docs.columns if n != "text"], F.lit(0).alias("_nothing"))
+    carried, phrases = _passes(docs.select(others.alias("_row"), F.col("text").alias("_text")), benchmark, window)
+    schema = carried.select("_row", "_text").schema
 
     def run(batches):
-        p = phrases.value
         for batch in batches:
-            texts = batch.column(at)
-            for lo, hi, data, offsets in text_chunks(texts, SHARD_BYTES):
-                words = Words(data, offsets, ALNUM_WORDS)
-                hit, _ = p.hits(words)
-                out = texts.slice(lo, hi - lo)
+            for lo, hi, words, hit, _ in _found(batch, phrases.value):
+                out = batch.column("_text").slice(lo, hi - lo)
                 touched = np.unique(words.owner()[hit])
                 if len(touched):
                     new = out.to_pylist()
                     for i in touched.tolist():
-                        rest, end = [], offsets[i]
+                        rest, end = [], words.offsets[i]
                         for a, b in _spans(words, hit, i):
-                            rest.append(data[end:a].tobytes())
+                            rest.append(words.raw[end:a].tobytes())
                             end = b
-                        new[i] = b"".join([*rest, data[end : offsets[i + 1]].tobytes()]).decode()
-                    out = pa.array(new, texts.type)
-                yield pa.RecordBatch.from_arrays([out if k == at else c.slice(lo, hi - lo) for k, c in enumerate(batch.columns)], schema=batch.schema)
+                        new[i] = b"".join([*rest, words.raw[end : words.offsets[i + 1]].tobytes()]).decode()
+                    out = pa.array(new, out.type)
+                yield pa.RecordBatch.from_arrays([batch.column("_row").slice(lo, hi - lo), out], ["_row", "_text"])
 
-    return docs.mapInArrow(run, docs.schema)
+    cut = carried.mapInArrow(run, schema)
+    return cut.select(*[F.col("_text").alias(n) if n == "text" else F.col("_row").getField(n).alias(n) for n in docs.columns])
