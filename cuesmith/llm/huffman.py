@@ -1,9 +1,10 @@
 """Token-id files: canonical length-limited Huffman coding in independent blocks.
 
-Writing takes two passes. The first counts ids over the whole corpus (each task
-sends one count for each id of the vocabulary at most); the driver turns the
-counts into code lengths of at most ``limit`` bits with the package-merge
-algorithm. The second deals documents to ranges of ascending ``doc_id`` and
+Texts are tokenized once and their ids staged. One pass over the ids counts them
+(each task sends one count for each id of the vocabulary at most); the driver
+turns the counts into code lengths of at most ``limit`` bits with the
+package-merge algorithm. Another deals the documents to ranges of ascending
+``doc_id`` - as many as the number of ids asks for, ``RANGE_IDS`` each - and
 writes blocks. Lengths alone define the canonical code, so the codebook holds
 nothing else.
 
@@ -23,7 +24,8 @@ side, each step looking up one code of every checkpoint in a table of
 ``2**limit`` entries.
 
 Cases: a null or empty text is the end id alone; repeated rows are written once
-each, equal ``doc_id`` in order of their text's hash; null ``doc_id`` first; an
+each (many equal ones over several ranges), equal ``doc_id`` in order of their
+text's hash; null ``doc_id`` first; an
 empty table gives a codebook of one code and no block; other columns are not
 carried.
 """
@@ -39,10 +41,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesmith.llm import bpe
-from cuesmith.llm.common import clear_columns, new_path, ragged_arange, text_chunks
+from cuesmith.llm.common import clear_columns, new_path, staged, text_chunks
 
 BLOCK_IDS = 1 << 16
 EVERY = 128
+RANGE_IDS = 4_000_000
 LIMIT = 18
 
 
@@ -136,22 +139,45 @@ def decode_lanes(words: np.ndarray, at: np.ndarray, n: np.ndarray, table: np.nda
     return out
 
 
-def count_ids(docs: DataFrame, tokenizer: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in the corpus; the vocabulary bounds what tasks and driver hold."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id, text_hash, n, ids (with the end id; two bytes each where the vocabulary allows, else four)."""
 
     def run(batches):
         enc = bpe.encoder(tokenizer)
-        total = np.zeros(enc.size, np.int64)
+        kind = _width(max(enc.size, end_id + 1))
         for batch in batches:
-            total[end_id] += batch.num_rows
-            for _, _, data, offsets in text_chunks(batch.column(0)):
-                ids, _ = enc.encode(data, offsets)
-                total += np.bincount(ids, minlength=enc.size)
+            for lo, hi, data, offsets in text_chunks(batch.column(2)):
+                ids, at = bpe.with_end(*enc.encode(data, offsets), end_id)
+                raw = ids.astype(kind).tobytes()
+                size = np.dtype(kind).itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer((at * size).astype(np.int64).tobytes()), pa.py_buffer(raw)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(np.diff(at)), packed], ["doc_id", "text_hash", "n", "ids"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n long, ids binary")
+
+
+def _width(ids: int) -> str:
+    return "<u2" if ids <= 1 << 16 else "<u4"
+
+
+def count_ids(texts: DataFrame, size: int) -> np.ndarray:
+    """How often each id below ``size`` occurs; the vocabulary bounds what tasks and driver hold."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            column = batch.column(0).cast(pa.large_binary())
+            _, at, data = column.buffers()
+            at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+            if len(column) and at[-1] > at[0]:
+                raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+                for lo in range(0, len(raw), 1 << 21):
+                    total += np.bincount(raw[lo : lo + (1 << 21)].view(_width(size)), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(max([end_id, *(r.id for r in rows)]) + 1, np.int64)
+    rows = texts.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size, np.int64)
     for r in rows:
         out[r.id] = r.n
     return out
@@ -162,12 +188,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     tokenizer = tokenizer or bpe.default_path()
     docs = clear_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bits = code_lengths(count_ids(docs, tokenizer, end_id), limit)
+    size = max(bpe.encoder(tokenizer).size, end_id + 1)
+    texts = staged(tokenized(docs, tokenizer, end_id), "token-ids")
+    count = count_ids(texts, size)
+    bits = code_lengths(count, limit)
     spark.createDataFrame([(bytearray(bits.tobytes()), end_id, limit)], "bits binary, end_id int, limit int").coalesce(1).write.parquet(f"{path}/codebook")
     book = spark.sparkContext.broadcast(bits.tobytes())  # one byte for each id of the vocabulary
 
     def run(batches):
-        enc = bpe.encoder(tokenizer)
         bits = np.frombuffer(book.value, np.uint8)
         codes = canonical(bits)
         shard, block, first = TaskContext.get().partitionId(), 0, 0
@@ -184,25 +212,21 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         doc_ids, parts, sizes, held = [], [], [], 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for lo, hi, data, offsets in text_chunks(batch.column(1)):
-                ids, at = bpe.with_end(*enc.encode(data, offsets), end_id)
-                for i in range(hi - lo):
-                    n = int(at[i + 1] - at[i])
-                    if held and held + n > BLOCK_IDS:
-                        yield flush(doc_ids, parts, sizes)
-                        doc_ids, parts, sizes, held = [], [], [], 0
-                    doc_ids.append(names[lo + i])
-                    parts.append(ids[at[i] : at[i + 1]])
-                    sizes.append(n)
-                    held += n
+            for name, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if held and held + n > BLOCK_IDS:
+                    yield flush(doc_ids, parts, sizes)
+                    doc_ids, parts, sizes, held = [], [], [], 0
+                doc_ids.append(name)
+                parts.append(np.frombuffer(raw, _width(size)))
+                sizes.append(n)
+                held += n
         if held:
             yield flush(doc_ids, parts, sizes)
 
-    order = ["doc_id", F.xxhash64("text")]
     schema = "shard int, block long, first long, doc_ids array<long>, sizes array<long>, checkpoints binary, payload binary"
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranged = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranges = max(1, -(-int(count.sum()) // RANGE_IDS))
+    order = ["doc_id", "text_hash", "place"]  # the place among staged rows splits equal ones
+    ranged = texts.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
     ranged.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
