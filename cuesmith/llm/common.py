@@ -219,6 +219,15 @@ def ragged_arange(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def bounded_sample(rows: DataFrame, most: int, longest: int) -> DataFrame:
+    """At most ``most`` rows (doc_id, text, ...), none with a text over ``longest`` bytes,
+    picked by a hash of id and text: what a driver may learn from."""
+    few = rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest)
+    share = min(1.0, most / max(1, few.count()))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
+    return few.where(draw < int(share * 1_000_000)).orderBy(draw, *few.columns).limit(most)
+
+
 def clear_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, those that are missing as null strings; others,
     whatever their names, can then not clash."""

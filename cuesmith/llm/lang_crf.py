@@ -14,8 +14,8 @@ by side, the messages pass from block to block, and the blocks are then finished
 side by side. The language of a text is the one with the largest mean posterior,
 words weighing as much as they have bytes; that mean is its score.
 
-The sample is the only thing that is bounded: ``most`` labelled documents, picked
-by a hash of their id. Labelling takes every whole text and shuffles nothing.
+The sample is the only thing that is bounded: ``most`` labelled documents of at
+most ``longest`` bytes, picked by a hash of id and text. Labelling takes every whole text and shuffles nothing.
 
 Cases: null texts and texts without letters are ``und`` with score 0, as is every
 text if there is no label to learn from; with one language all others get it with
@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuesmith.llm.common import Words, byte_set, bytes_hash, clear_columns, held_out, mix64, ragged_arange, text_chunks
+from cuesmith.llm.common import Words, bounded_sample, byte_set, bytes_hash, clear_columns, held_out, mix64, ragged_arange, text_chunks
 
-SAMPLE = 3000
+SAMPLE, LONGEST = 3000, 1 << 16
 BUCKETS = 1 << 17
 AFFIX, GRAMS = 4, (2, 3)
 STRETCH, MOST_STRETCHES = 40, 12_000
@@ -124,6 +124,34 @@ def posteriors(emission: np.ndarray, first: np.ndarray, transition: np.ndarray)
     return out / out.sum(1, keepdims=True)
 
 
+def expectations(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For short sequences: what :func:`posteriors` gives, and the expected number of
+    each transition, from the exact distributions of neighbours (the first word of a
+    sequence follows a silent state that is equally likely to be any language)."""
+    size, width = np.diff(first), emission.shape[1]
+    longest = int(size.max(initial=0))
+    real = np.arange(longest) < size[:, None]
+    place = np.minimum(first[:-1, None] + np.arange(longest), len(emission) - 1)
+    x = np.where(real[:, :, None], np.exp(emission - emission.max(1, keepdims=True))[place] + 1e-30, 1.0)
+    t = np.exp(transition - transition.max())
+    ahead, a = np.empty((longest + 1, len(size), width)), np.full((len(size), width), 1 / width)
+    ahead[0] = a
+    for j in range(longest):
+        a = (a @ t) * x[:, j]
+        a /= a.sum(1, keepdims=True)
+        ahead[j + 1] = a
+    pairs, p, b = np.zeros((width, width)), np.empty((longest, len(size), width)), np.ones((len(size), width))
+    for j in reversed(range(longest)):
+        p[j] = ahead[j + 1] * b
+        both = ahead[j][:, :, None] * t * (x[:, j] * b)[:, None, :]
+        both /= both.sum((1, 2), keepdims=True)
+        pairs += both[real[:, j]].sum(0)
+        b = np.where(real[:, j, None], (x[:, j] * b) @ t.T, b)
+        b /= b.sum(1, keepdims=True)
+    p = p.transpose(1, 0, 2)[real]
+    return p / p.sum(1, keepdims=True), pairs
+
+
 class Tagger:
     """The trained field: weights by hashed feature and language, and transitions."""
 
@@ -195,36 +223,29 @@ class Tagger:
         feats = ids[np.repeat(begin[words], size) + ragged_arange(size)]
         edge = np.concatenate([[0], np.cumsum(size)])[:-1]
         feature_word = np.repeat(np.arange(len(words)), size)
-        inside = np.ones(len(flat), bool)
-        inside[first[:-1][first[:-1] < len(flat)]] = False  # not the first word of a stretch
-        later = np.flatnonzero(inside)
-        seen = np.zeros((width, width))
+        first = np.unique(first)  # without empty stretches
+        opens = np.zeros(len(flat), bool)
+        opens[first[:-1]] = True
+        later = np.flatnonzero(~opens)
+        seen, starts = np.zeros((width, width)), np.bincount(labels[opens], minlength=width)
         np.add.at(seen, (labels[later - 1], labels[later]), 1)
         squares, t_squares = np.full((BUCKETS, width), 1e-6, np.float32), np.full((width, width), 1e-6)
         scale = 1 / max(1, len(flat))
         for _ in range(ROUNDS):
             score = np.add.reduceat(self.w[feats], edge, axis=0)
             emission = score[inverse].astype(float)
-            p = posteriors(emission, first, self.t)
+            p, pairs = expectations(emission, first, self.t)
             g = -p
             g[np.arange(len(flat)), labels] += 1
             by_word = np.stack([np.bincount(inverse, g[:, k], len(words)) for k in range(width)], 1)
             grad = np.stack([np.bincount(feats, by_word[feature_word, k], BUCKETS) for k in range(width)], 1) * scale - 1e-7 * self.w
             squares += grad * grad
             self.w += (0.15 * grad / np.sqrt(squares)).astype(np.float32)
-            t_grad = (seen - self._expected(p, emission, later)) * scale
+            silent = np.exp(self.t) / np.exp(self.t).sum(0) * starts  # what precedes the first words, given their languages
+            t_grad = (seen + silent - pairs) * scale
             t_squares += t_grad * t_grad
             self.t += 0.3 * t_grad / np.sqrt(t_squares)
 
-    def _expected(self, p, emission, later):
-        """Expected transitions, each pair's distribution from the posteriors at its
-        ends and the transition weights (fitted to both ends by scaling)."""
-        pair = p[later - 1][:, :, None] * np.exp(self.t)[None] * p[later][:, None, :]
-        for _ in range(3):
-            pair *= (p[later - 1] / np.maximum(pair.sum(2), 1e-30))[:, :, None]
-            pair *= (p[later] / np.maximum(pair.sum(1), 1e-30))[:, None, :]
-        return pair.sum(0)
-
     def emissions(self, words: Words) -> np.ndarray:
         _, where, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
         ids, begin = features(words, where, self.lexicon)
@@ -248,11 +269,10 @@ class Tagger:
         return np.where(empty, -1, share.argmax(1)), np.where(empty, 0.0, np.clip(share.max(1), 0, 1))
 
 
-def fit(docs: DataFrame, most: int = SAMPLE) -> Tagger:
-    """Train on at most about ``most`` documents outside the held-out third that have a language."""
+def fit(docs: DataFrame, most: int = SAMPLE, longest: int = LONGEST) -> Tagger:
+    """Train on at most ``most`` documents of at most ``longest`` bytes outside the held-out third that have a language."""
     known = clear_columns(docs, "doc_id", "text", "lang").where(~held_out()).where("lang is not null and text is not null")
-    share = min(1.0, most / max(1, known.count()))
-    got = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("doc_id", "text", "lang").toArrow()
+    got = bounded_sample(known, most, longest).orderBy("doc_id", "text", "lang").toArrow()
     return Tagger(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 

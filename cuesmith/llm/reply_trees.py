@@ -2,10 +2,11 @@
 
 Messages point to the message they answer. Pointer jumping - each round joins
 the table with itself and doubles the distance every message looks back - finds
-depth and root in log2(longest path) joins; walking the jumps down again from
-each leaf enumerates every root-to-leaf path, again doubling. Branches of a root
-are ranked by the mean score of their messages (ties: longer, then smaller leaf)
-and the best ``keep`` are formatted, each as one conversation.
+depth, root and the sum of scores up to it in log2(longest path) joins. So branches
+are ranked while they are still one row a leaf - by the mean score of their
+messages (ties: longer, then smaller leaf) - and only from the best ``keep``
+leaves of a root the jumps are walked again, doubling, which enumerates the
+messages of their paths; each path is formatted as one conversation.
 
 A message is marked ``<s>[X]\\n...[/X]</s>\\n``, X being INST, OUT or SYS for user,
 assistant and system, else ``ROLE=`` and the role in hexadecimal. Inside texts a
@@ -76,14 +77,15 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, root, leaf, pos, node) for every root-to-leaf path; ``pos`` 0 is the root."""
-    return _paths(_keyed(nodes)).withColumn("tree", F.col("tree.id"))
+    return _paths(_keyed(nodes), None).drop("n_turns").withColumn("tree", F.col("tree.id"))
 
 
-def _paths(nodes: DataFrame) -> DataFrame:
-    links = nodes.select("tree", "node", "parent")
+def _paths(nodes: DataFrame, keep: int | None) -> DataFrame:
+    """As :func:`paths` with ``n_turns``, for the ``keep`` best leaves of each root."""
+    links = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("total"))
     known = links.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    links = links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"))
-    # jumps[k]: the ancestor 2**k steps up, where there is one
+    links = links.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "total")
+    # jumps[k]: the ancestor 2**k steps up, where there is one; total: scores from the message to below that ancestor
     step = staged(links.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))).withColumn("depth", F.when(F.col("up").isNull(), 0).cast("long")), "tree-0")
     leaves = step.select("tree", F.col("node").alias("leaf")).join(step.select("tree", F.col("up").alias("leaf")), ["tree", "leaf"], "left_anti")
     jumps = []
@@ -92,19 +94,24 @@ def _paths(nodes: DataFrame) -> DataFrame:
         if len(jumps) > most:  # what is left lies on, or hangs from, a circle
             break
         jumps.append(open_.select("tree", "node", "up"))
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"))
+        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("more"))
         step = step.join(above, ["tree", "up"], "left").select(
             "tree", "node", F.when(F.col("r").isNull(), F.col("next")).alias("up"),
             F.coalesce("root", "r").alias("root"), F.coalesce("depth", F.col("d") + (1 << len(jumps) - 1)).alias("depth"),
+            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
         )
         step = staged(step, f"tree-{len(jumps)}")
-    ends = leaves.join(step.where("root is not null").select("tree", F.col("node").alias("leaf"), "root", "depth"), ["tree", "leaf"])
-    out = ends.select("tree", "root", "leaf", F.col("leaf").alias("node"), F.col("depth").alias("pos"))
+    ends = leaves.join(step.where("root is not null").select("tree", F.col("node").alias("leaf"), "root", "depth", "total"), ["tree", "leaf"])
+    ends = ends.withColumn("n_turns", F.col("depth") + 1)
+    if keep is not None:
+        best = Window.partitionBy("tree", "root").orderBy(F.desc(F.col("total") / F.col("n_turns")), F.desc("n_turns"), "leaf")
+        ends = staged(ends.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep), "leaves")
+    out = ends.select("tree", "root", "leaf", "n_turns", F.col("leaf").alias("node"), F.col("depth").alias("pos"))
     for k in reversed(range(len(jumps))):
         here = F.struct("node", "pos")
         above = F.when(F.col("pos") >= 1 << k, F.struct(F.col("up").alias("node"), (F.col("pos") - (1 << k)).alias("pos")))
         out = out.join(jumps[k], ["tree", "node"], "left").withColumn("at", F.explode(F.array_compact(F.array(here, above))))
-        out = out.select("tree", "root", "leaf", "at.node", "at.pos")
+        out = out.select("tree", "root", "leaf", "n_turns", "at.node", "at.pos")
     return out
 
 
@@ -114,18 +121,15 @@ def conversations(nodes: DataFrame, keep: int = 1) -> DataFrame:
     ``nodes``: tree, node, parent (null: a root), role, text, score.
     """
     nodes = _keyed(nodes)
-    walked = staged(_paths(nodes), "paths")
-    texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    branch = walked.join(texts.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "root", "leaf").agg(F.avg("score").alias("score"), F.count("*").alias("n_turns"))
-    rank = Window.partitionBy("tree", "root").orderBy(F.desc("score"), F.desc("n_turns"), "leaf")
-    chosen = branch.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep).select("tree", "leaf", "n_turns")
+    walked = _paths(nodes, keep)
+    texts = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     x, body = mark(F.col("role")), escape(F.col("text"))
     said = texts.select("tree", "node", (F.col("role") == "assistant").alias("loss"), x.alias("x"), body.alias("body"))
     said = said.select(
         "tree", "node", "loss", F.concat(F.lit("<s>["), "x", F.lit("]\n"), "body", F.lit("[/"), "x", F.lit("]</s>\n")).alias("said"),
         (F.length("x") + 6).cast("long").alias("head"), F.length("body").cast("long").alias("size"),
     )
-    rows = walked.join(chosen, ["tree", "leaf"]).join(said, ["tree", "node"])
+    rows = walked.join(said, ["tree", "node"])
     before = Window.partitionBy("tree", "leaf").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.coalesce(F.sum(F.length("said")).over(before), F.lit(0)) + F.col("head"))
     turn = F.struct("pos", "said", "loss", "at", (F.col("at") + F.col("size")).alias("end"))

@@ -104,3 +104,20 @@ def test_pipeline_stages(spark, tmp_path):
             assert out.count() == docs.count()
         docs = out
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+
+
+def test_expected_transitions_equal_brute_force():
+    rng = np.random.default_rng(4)
+    e, t, first = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), np.array([0, 3, 4, 8])
+    p, pairs = lang_crf.expectations(e, first, t)
+    assert np.allclose(p, lang_crf.posteriors(e, first, t))
+    want = np.zeros((3, 3))
+    for a, b in zip(first[:-1], first[1:]):
+        total, sums = 0.0, np.zeros((3, 3))
+        for path in np.ndindex(*[3] * (b - a + 1)):  # the silent state first
+            w = np.exp(sum(e[a + i, k] for i, k in enumerate(path[1:])) + sum(t[x, y] for x, y in zip(path, path[1:])))
+            total += w
+            for x, y in zip(path, path[1:]):
+                sums[x, y] += w
+        want += sums / total
+    assert np.allclose(pairs, want)
