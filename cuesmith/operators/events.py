@@ -18,13 +18,13 @@ def merge_adjacent(events: DataFrame, gap_ms: int = 2000, least_ms: int = 300) -
     return out.where(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("_run", "_isle")
 
 
-def classify(tag: Column, needles: list[tuple[str, str]], other: str = "sound_effect") -> Column:
-    """The type of the first needle that the tag, lower-cased and with single blanks, holds."""
+def classify(tag: Column, needles: list[tuple[str, str]]) -> Column:
+    """The type of the first needle that the tag, lower-cased and with single blanks, holds; null if none does."""
     t = F.trim(F.lower(F.regexp_replace(tag, r"\s+", " ")))
     out = None
     for needle, kind in needles:
         out = (F if out is None else out).when(F.contains(t, F.lit(needle)), kind)
-    return F.lit(other) if out is None else out.otherwise(other)
+    return F.lit(None).cast("string") if out is None else out
 
 
 def thin_out(cues: DataFrame, density: str = "conservative", least_ms: int = 250, gap_ms: int = 1500) -> DataFrame:

@@ -50,8 +50,9 @@ def overlaps(cues: DataFrame) -> DataFrame:
 
 def grades(cues: DataFrame) -> DataFrame:
     """Counts of cues that break a rule, by timeline."""
-    speed, lasts = cps(visible_chars(F.col("text")), F.col("start_ms"), F.col("end_ms")), F.col("end_ms") - F.col("start_ms")
-    rules = {"n_fast": speed > MAX_CPS, "n_slow": speed < MIN_CPS, "n_short": lasts < MIN_DISPLAY_MS, "n_long": lasts > MAX_DISPLAY_MS, "n_one_word": visible_chars(F.col("text"), "words") <= 1}
+    chars = visible_chars(F.col("text"))
+    speed, lasts = F.round(cps(chars, F.col("start_ms"), F.col("end_ms")), 2), F.col("end_ms") - F.col("start_ms")
+    rules = {"n_fast": speed > MAX_CPS, "n_slow": (speed < MIN_CPS) & (chars > 0), "n_short": lasts < MIN_DISPLAY_MS, "n_long": lasts > MAX_DISPLAY_MS, "n_one_word": visible_chars(F.col("text"), "words") <= 1}
     return cues.groupBy("timeline_id").agg(F.count("*").alias("n_cues"), *[F.count_if(rule).alias(name) for name, rule in rules.items()])
 
 
@@ -61,6 +62,7 @@ def interval_lookup(points: DataFrame, spans: DataFrame, bucket_ms: int = 10_000
     Spans are spread over the time buckets they touch, which turns the range join
     into an equi-join on (timeline, bucket)."""
     bucket = lambda c: F.floor(c / bucket_ms)
+    spans = spans.where("to_ms >= from_ms")  # others hold no point
     spread = spans.select("timeline_id", "span", "from_ms", "to_ms", F.explode(F.sequence(bucket(F.col("from_ms")), bucket(F.col("to_ms")))).alias("_b"))
     joined = points.withColumn("_b", bucket(F.col("mid"))).join(spread, ["timeline_id", "_b"], "left")
     inside = F.col("mid").between(F.col("from_ms"), F.col("to_ms"))

@@ -9,7 +9,7 @@ _LIST = ", ".join(f"'{a}'" for a in ABBREVIATIONS)
 
 
 def _ends(w: str) -> str:
-    bare = f"regexp_replace({w}, '[.!?]+$', '')"
+    bare = f"trim(regexp_replace({w}, '[.!?\"'')\\]}}»”’]+$', ''))"
     return (
         f"(regexp_matches({w}, '[。！？．]$') OR (regexp_matches({w}, '[.!?]$') AND NOT ends_with({w}, '...') AND NOT (ends_with({w}, '.') AND "
         f"(contains({bare}, '.') OR lower({bare}) IN ({_LIST}) OR regexp_matches({bare}, '^[A-Z]$')))))"
@@ -58,9 +58,9 @@ ORACLE_SQL = {
     "seg3_sentence_ends": f"SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_filter(ws, lambda w: {_ends('w')})) AS BIGINT) AS n_ends FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws FROM documents)",
     "seg5_unresolved": GROUPS + " SELECT timeline_id, group_id, n_words, text FROM grp WHERE start_ms IS NULL",
     "flt1_timing": TOKENS + " SELECT timeline_id, count(*) AS n_tokens, count(start_ms) AS n_timed, max(end_ms) AS until_ms FROM tok GROUP BY timeline_id",
-    "nrm2_event_types": "SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(t, '{a}') THEN '{b}'" for a, b in TAGS) + f" ELSE 'sound_effect' END AS kind FROM (SELECT lower(regexp_replace({SAMPLES!r}[event_id % {len(SAMPLES)} + 1], '\\s+', ' ', 'g')) AS t FROM events)) GROUP BY kind",
+    "nrm2_event_types": "SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(t, '{a}') THEN '{b}'" for a, b in TAGS) + f" END AS kind FROM (SELECT lower(regexp_replace({SAMPLES!r}[event_id % {len(SAMPLES)} + 1], '\\s+', ' ', 'g')) AS t FROM events)) GROUP BY kind",
     "nrm5_speaker_letters": TOKENS + ", f AS (SELECT timeline_id, speaker, min(pos) AS first_pos FROM tok WHERE speaker IS NOT NULL GROUP BY ALL) SELECT *, chr(CAST(64 + row_number() OVER (PARTITION BY timeline_id ORDER BY first_pos) AS INT)) AS letter FROM f",
-    "nrm7_utterances": TOKENS + " SELECT timeline_id, utt, min(speaker) AS speaker, min(start_ms) AS start_ms, max(end_ms) AS end_ms, string_agg(text, ' ' ORDER BY pos) AS text, CAST(coalesce(sum(length(text) * 37 % 100) * 100 // nullif(count(*) FILTER (length(text) * 37 % 100 > 0), 0), 0) AS BIGINT) AS confidence_e4 FROM tok GROUP BY timeline_id, utt",
+    "nrm7_utterances": TOKENS + " SELECT timeline_id, utt, min(speaker) AS speaker, min(start_ms) AS start_ms, arg_max(end_ms, pos) AS end_ms, string_agg(text, ' ' ORDER BY pos) AS text, coalesce(round_even(sum(length(text) * 37 % 100) * 10000 / nullif(count(*) FILTER (length(text) * 37 % 100 > 0), 0) / 100, 0) / 10000, 0) AS confidence FROM tok WHERE start_ms IS NOT NULL GROUP BY timeline_id, utt",
     "nrm14_distinct_tokens": TOKENS + " SELECT timeline_id, min(pos) AS pos, speaker, text FROM tok GROUP BY timeline_id, speaker, text",
     "evt1_merged_events": EVENTS + """, a AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER o THEN 0 ELSE 1 END AS turned FROM ev WINDOW o AS (PARTITION BY timeline_id ORDER BY start_ms, end_ms, pos)),
 b AS (SELECT *, sum(turned) OVER (PARTITION BY timeline_id ORDER BY start_ms, end_ms, pos) AS run FROM a),
@@ -73,7 +73,7 @@ SELECT t.timeline_id, t.pos, min(s.utt) AS span FROM t LEFT JOIN s ON s.timeline
     "cps1_extended": GROUPS + f", c AS (SELECT timeline_id, seq, start_ms, start_ms + length(text) * 20 AS end_ms, text FROM cue), n AS (SELECT *, lead(start_ms) OVER (PARTITION BY timeline_id ORDER BY seq) AS later FROM c) SELECT timeline_id, seq, start_ms, CASE WHEN {_CPS} > 45 THEN greatest(end_ms, least(start_ms + least({_IDEAL}, 7000), coalesce(later - 80, 9223372036854775807))) ELSE end_ms END AS end_ms FROM n",
     "cps3_trimmed": GROUPS + f", c AS (SELECT timeline_id, seq, start_ms, start_ms + length(text) * 250 AS end_ms, text FROM cue) SELECT timeline_id, seq, start_ms, CASE WHEN {_CPS} < 5 THEN least(end_ms, start_ms + greatest({_IDEAL}, 800)) ELSE end_ms END AS end_ms FROM c",
     "rdb3_min_duration": GROUPS + ", n AS (SELECT *, 800 - (end_ms - start_ms) AS need, lead(start_ms) OVER (PARTITION BY timeline_id ORDER BY seq) AS later FROM cue) SELECT timeline_id, seq, start_ms, CASE WHEN need > 0 AND later - end_ms >= need THEN end_ms + need ELSE end_ms END AS end_ms FROM n",
-    "agg1_grades": GROUPS + f" SELECT timeline_id, count(*) AS n_cues, count(*) FILTER ({_CPS} > 45) AS n_fast, count(*) FILTER ({_CPS} < 5) AS n_slow, count(*) FILTER (end_ms - start_ms < 800) AS n_short, count(*) FILTER (end_ms - start_ms > 7000) AS n_long, count(*) FILTER (NOT contains(text, ' ')) AS n_one_word FROM cue GROUP BY timeline_id",
+    "agg1_grades": GROUPS + f" SELECT timeline_id, count(*) AS n_cues, count(*) FILTER (round({_CPS}, 2) > 45) AS n_fast, count(*) FILTER (round({_CPS}, 2) < 5) AS n_slow, count(*) FILTER (end_ms - start_ms < 800) AS n_short, count(*) FILTER (end_ms - start_ms > 7000) AS n_long, count(*) FILTER (NOT contains(text, ' ')) AS n_one_word FROM cue GROUP BY timeline_id",
     "agg3_overlaps": GROUPS + ", n AS (SELECT timeline_id, end_ms + length(text) * 3 AS e, lead(start_ms) OVER (PARTITION BY timeline_id ORDER BY seq) AS later FROM cue) SELECT timeline_id, count(*) AS n_cues, count(*) FILTER (e > later) AS n_overlaps FROM n GROUP BY timeline_id",
     "agg7_rollup": GROUPS + " SELECT timeline_id, speaker, count(*) AS n_groups, count(*) FILTER (hard_before) AS n_hard, CAST(sum(n_words) AS BIGINT) AS n_words FROM grp GROUP BY ROLLUP (timeline_id, speaker)",
     "tim_timecodes": GROUPS + f" SELECT timeline_id, seq, {_srt('(start_ms * 40)')} AS srt_time, replace({_srt('end_ms')}, ',', '.') AS vtt_time, start_ms * 40 AS ms FROM cue",

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cuesmith.functions import text as T
 from cuesmith.functions import timecode as C
 from cuesmith.operators import events as E
+from cuesmith.operators import normalize as N
 from cuesmith.operators import segment as S
 from cuesmith.operators import sinks, timing
+from cuesmith.session import ship
 from cuesmith.sources import transcripts
 
 # ---- fixed values: audio tags and their types, the first that a tag holds wins
@@ -22,7 +24,7 @@ SAMPLES = ["(Music  Playing)", "(soft music)", "(CROWD cheering)", "(applause)",
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transcripts.from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return transcripts.from_turns(ship(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,10 @@ def seg1_groups(spark, sf_dir):
 
 
 def seg3_sentence_ends(spark, sf_dir):
-    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r]+"), lambda w: w != "")
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(words).cast("long").alias("n_words"), F.size(F.filter(words, T.is_sentence_end)).cast("long").alias("n_ends"))
+    """Only words that end in a sentence sign are taken out of the text and looked at."""
+    text = F.coalesce("text", F.lit(""))
+    ends = F.regexp_extract_all(text, F.lit(r"(?<![^ \t\n\r])([^ \t\n\r]*[.!?。！？．])(?![^ \t\n\r])"), 1)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_count(text, F.lit(r"[^ \t\n\r]+")).cast("long").alias("n_words"), F.size(F.filter(ends, T.is_sentence_end)).cast("long").alias("n_ends"))
 
 
 def seg5_unresolved(spark, sf_dir):
@@ -66,9 +70,8 @@ def nrm5_speaker_letters(spark, sf_dir):
 
 
 def nrm7_utterances(spark, sf_dir):
-    t = _tokens(spark, sf_dir).withColumn("confidence", (F.length("text") * 37 % 100) / 100)
-    g = t.groupBy("timeline_id", "utt").agg(F.first("speaker").alias("speaker"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("l"), F.sum(F.length("text") * 37 % 100).alias("points"), F.count_if(F.col("confidence") > 0).alias("n"))
-    return g.select("timeline_id", "utt", "speaker", "start_ms", "end_ms", F.array_join(F.transform("l", lambda x: x["text"]), " ").alias("text"), F.when(F.col("n") > 0, F.floor(F.col("points") * 100 / F.col("n"))).otherwise(0).cast("long").alias("confidence_e4"))
+    t = _tokens(spark, sf_dir).where("start_ms is not null").withColumn("confidence", (F.length("text") * 37 % 100) / 100)
+    return N.utterances(t)
 
 
 def nrm2_event_types(spark, sf_dir):

@@ -3,8 +3,9 @@
 import pytest
 
 from compare import from_spark, from_sql
-from cuesmith.plans.oracle import ORACLE_SQL
-from cuesmith.plans.queries import QUERIES
+from cuesmith.plans import cue_queries, oracle, queries
+
+QUERIES, ORACLE_SQL = queries.QUERIES | cue_queries.QUERIES, oracle.ORACLE_SQL | cue_queries.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 
