@@ -32,7 +32,9 @@ RULES = {
     "OPTIMIZER_BOUNDARY_VIOLATION": "segmentation_boundary", "UNRESOLVED_UNTIMED_CONTENT": "timing_completeness",
 }
 # ----
-ORDER = Window.partitionBy("timeline_id").orderBy("seq")
+
+def order():
+    return Window.partitionBy("timeline_id").orderBy("seq")
 
 
 def words_of(text: Column) -> Column:
@@ -108,8 +110,8 @@ def graded(cues: DataFrame, spec: Spec = Spec(), min_sound_ms: int = 800) -> Dat
 
 def report(cues: DataFrame, phrases: list[str], spec: Spec = Spec(), min_sound_ms: int = 800) -> DataFrame:
     """One row a timeline: counts of what breaks a rule, and whether it blocks the export."""
-    after = F.lead("start_ms").over(ORDER)
-    g = graded(cues, spec, min_sound_ms).withColumn("_over", F.col("end_ms") > after).withColumn("_next", F.lead("type").over(ORDER))
+    after = F.lead("start_ms").over(order())
+    g = graded(cues, spec, min_sound_ms).withColumn("_over", F.col("end_ms") > after).withColumn("_next", F.lead("type").over(order()))
     sound, lasts = _sound(), F.col("end_ms") - F.col("start_ms")
     fails, warns = F.filter("violations", lambda v: v["severity"] == "fail"), F.filter("violations", lambda v: v["severity"] == "warn")
     return g.groupBy("timeline_id").agg(
@@ -182,11 +184,11 @@ def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl:
     on_grid = lambda ms: from_frame(to_frame(ms, num, den), num, den) == ms
     c = cues.withColumns({
         "_lasts": lasts, "_chars": chars, "_cps": speed(chars, lasts), "_said": said, "_saying": speed(said, lasts), "_cjk": cjk, "_text": text,
-        "_from": F.lead("start_ms").over(ORDER), "_past": F.lag("end_ms").over(ORDER), "_kind": F.lead(F.coalesce("type", F.lit("dialogue"))).over(ORDER),
+        "_from": F.lead("start_ms").over(order()), "_past": F.lag("end_ms").over(order()), "_kind": F.lead(F.coalesce("type", F.lit("dialogue"))).over(order()),
         "_phrase": F.when(~cjk, broken_phrase(F.col("lines"), list(phrases))),
     })
     if speaker:
-        c = c.withColumns({"_same": F.col(speaker) == F.lead(speaker).over(ORDER), "_said2": F.lead("_said").over(ORDER), "_saying2": F.lead("_saying").over(ORDER)})
+        c = c.withColumns({"_same": F.col(speaker) == F.lead(speaker).over(order()), "_said2": F.lead("_said").over(order()), "_saying2": F.lead("_saying").over(order())})
     start, end, dialogue = F.col("start_ms"), F.col("end_ms"), _dialogue(F.col("type"))
     # remedies: a later end, then an earlier start
     flash_end = F.least(start + FLASH_MS, F.coalesce(F.col("_from") - gap_ms, start + FLASH_MS))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("timeline_id").orderBy("seq")
+
+def order():
+    return Window.partitionBy("timeline_id").orderBy("seq")
 
 
 def boundaries(cues: DataFrame) -> DataFrame:
@@ -17,11 +19,11 @@ def boundaries(cues: DataFrame) -> DataFrame:
 
     Cues have ``wall``, ``review`` and ``speakers`` (distinct known ones)."""
     one = F.size("speakers") == 1
-    same = one & (F.array_sort("speakers") == F.array_sort(F.lag("speakers").over(ORDER)))
-    review = F.coalesce("review", F.lit(False)) | F.coalesce(F.lag("review").over(ORDER), F.lit(False))
+    same = one & (F.array_sort("speakers") == F.array_sort(F.lag("speakers").over(order())))
+    review = F.coalesce("review", F.lit(False)) | F.coalesce(F.lag("review").over(order()), F.lit(False))
     wall = F.coalesce("wall", F.lit(False))
     reason = F.when(wall, "pause_boundary").when(review, "unknown_speaker").when(~F.coalesce(same, F.lit(False)), "speaker_change")
-    first = F.lag("seq").over(ORDER).isNull()
+    first = F.lag("seq").over(order()).isNull()
     marked = cues.select("timeline_id", "seq", reason.alias("reason"), first.alias("_first"))
     return marked.where("not _first").select("timeline_id", "seq", F.col("reason").isNotNull().alias("immutable"), "reason")
 
@@ -29,19 +31,19 @@ def boundaries(cues: DataFrame) -> DataFrame:
 def speaker_windows(cues: DataFrame) -> DataFrame:
     """Dialogue cues with ``window_id``: maximal runs of one first speaker without a wall inside."""
     dialogue = F.col("type") == "dialogue"
-    opens = F.coalesce("wall", F.lit(False)) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(ORDER)) | ~dialogue | ~F.coalesce(F.lag(dialogue).over(ORDER), F.lit(False))
-    return cues.withColumn("_opens", opens.cast("int")).withColumn("window_id", F.sum("_opens").over(ORDER)).where(dialogue).drop("_opens")
+    opens = F.coalesce("wall", F.lit(False)) | ~F.col("speaker").eqNullSafe(F.lag("speaker").over(order())) | ~dialogue | ~F.coalesce(F.lag(dialogue).over(order()), F.lit(False))
+    return cues.withColumn("_opens", opens.cast("int")).withColumn("window_id", F.sum("_opens").over(order())).where(dialogue).drop("_opens")
 
 
 def repair_windows(cues: DataFrame, around: int = 2) -> DataFrame:
     """(from_cue, to_cue) numbers from 0, half open: cues with ``failed`` and ``around`` neighbours, united where they touch."""
-    number = F.row_number().over(ORDER) - 1
+    number = F.row_number().over(order()) - 1
     n = F.count("*").over(Window.partitionBy("timeline_id"))
     near = cues.select("timeline_id", "failed", number.alias("i"), n.alias("n")).where("failed")
     spans = near.select("timeline_id", F.greatest(F.lit(0), F.col("i") - around).cast("long").alias("a"), F.least("n", F.col("i") + around + 1).cast("long").alias("b"))
-    order = Window.partitionBy("timeline_id").orderBy("a", "b")
-    fresh = ~F.coalesce(F.col("a") <= F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    isles = spans.withColumn("_f", fresh.cast("int")).withColumn("_isle", F.sum("_f").over(order))
+    by_start = Window.partitionBy("timeline_id").orderBy("a", "b")
+    fresh = ~F.coalesce(F.col("a") <= F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    isles = spans.withColumn("_f", fresh.cast("int")).withColumn("_isle", F.sum("_f").over(by_start))
     return isles.groupBy("timeline_id", "_isle").agg(F.min("a").alias("from_cue"), F.max("b").alias("to_cue")).drop("_isle")
 
 

@@ -15,7 +15,7 @@ from cuesmith.functions import timecode as C
 from cuesmith.functions.layout import Spec, best_break, cue_gain, wrap_column
 from cuesmith.operators import cues as Q
 from cuesmith.operators import normalize as N
-from cuesmith.operators import quality, shaping, sinks
+from cuesmith.operators import chain, optimizer, quality, shaping, sinks
 from cuesmith.operators import segment as S
 from cuesmith.operators import speech as P
 from cuesmith.operators import windows as O
@@ -577,3 +577,22 @@ def trp1_repaired(spark, sf_dir):
 @query()
 def txt9_disfluencies(spark, sf_dir):
     return _lined(spark, sf_dir).select("timeline_id", "seq", speech.text_column(F.col("text"), speech.remove_disfluencies).alias("text"))
+
+
+@query()
+def opt9_optimized(spark, sf_dir):
+    t = _tokens(spark, sf_dir)
+    return _written(Q.each(O.with_timings(_packed(spark, sf_dir), t), optimizer.optimize))
+
+
+@query()
+def opt9_decisions(spark, sf_dir):
+    return optimizer.decision_table(O.with_timings(_packed(spark, sf_dir), _tokens(spark, sf_dir)))
+
+
+@query()
+def formatted_timelines(spark, sf_dir):
+    """The whole chain of passes over packed cues, as subtitle text."""
+    t = _tokens(spark, sf_dir)
+    cues = Q.each(O.with_timings(_packed(spark, sf_dir), t), chain.format_cues)
+    return sinks.srt(cues.select("timeline_id", "seq", "start_ms", "end_ms", F.array_join("lines", "\n").alias("text")))
