@@ -1,6 +1,12 @@
 """A training corpus from ``documents``: toxic texts go, one text of each group of
 near copies stays, benchmark passages are cut out, personal data is replaced, and
-what is left is packed into sequences."""
+what is left is packed into sequences.
+
+Cases, for all stages: null and empty texts are kept and stay as they are (packed, each
+is a piece of the end id alone); rows with a null ``doc_id`` are rows like any other;
+equal rows are judged alike, and only the near-copy stage makes one of them; further
+columns, whatever their names, go along up to the last stage; an empty table stays
+empty."""
 
 from __future__ import annotations
 
@@ -13,12 +19,13 @@ from cuesmith.llm import decontam, ngram_join, packing, surrogates, toxicity
 from cuesmith.llm.common import new_path, table
 from cuesmith.session import ship
 
-#: Learning, sorting out and packing cannot be said in SQL; the tests look at columns, row counts and sequence sums, and at odd rows of two stages.
+#: Learning, sorting out and packing cannot be said in SQL; the tests hold each stage's decisions against plain Python on a small table of odd rows.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores below its threshold."""
+    """Documents that the classifier scores below its threshold; one of known words alone
+    is scored, so texts without any are kept. Without labels all are kept."""
     ship(spark)
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity.reject(docs, model)
@@ -38,18 +45,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their benchmark passages; ``n_chars`` follows."""
+    """Documents without their benchmark passages; ``n_chars`` follows (null for a null
+    text). A document may become empty; it stays. An empty benchmark changes nothing."""
     ship(spark)
     return decontam.remove(docs, table(spark, sf_dir, "benchmark"), window=10).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; ``n_chars`` follows."""
+    """Documents with surrogates for personal data, equal ones for equal data in all of
+    them; ``n_chars`` follows (null for a null text)."""
     return surrogates.replace(docs, key="surrogates").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequence and offset there."""
+    """The pieces of all documents with their sequence and offset there; only documents
+    over 1024 tokens are cut."""
     ship(spark)
     return packing.pack(docs, capacity=1024, end_id=2, keep_ids=False)
 

@@ -1,10 +1,11 @@
 """PII: keyed surrogates for detected entities, with DataFrame functions alone.
 
-Entities are e-mail addresses, IPv4 and phone numbers (international, and the
-national forms of ``PATTERNS``), US social security numbers, IBANs, runs of 13 to
+Entities are e-mail addresses, IPv4 and IPv6 and phone numbers (international, and
+the national forms of ``PATTERNS``), US social security numbers, IBANs, runs of 13 to
 19 digits (cards, accounts), assigned secrets (``token = "..."``, key words in any
-case and in JSON, at least six letters or digits) and names: capitalised words after a title, or after
-a given name of ``GIVEN``.
+case and in JSON, at least six letters or digits), keys of known form (``AKIA...``,
+``sk_live_...`` and the like, whose prefix stays) and names: capitalised words after a
+title, or after a given name of ``GIVEN``.
 
 A surrogate has its original's form: digits become digits, letters become letters
 of the same script and case, everything else stays; octets stay octets, IBANs get
@@ -18,9 +19,10 @@ SHA-256 stream of the key, the kind, the value and the round. It is accepted if
 original of the corpus and no accepted surrogate equals it, and if the value is the
 smallest of those that drew it in this round; the others draw again. So distinct
 values get distinct surrogates, equal values equal ones, in every document, and no
-surrogate is somebody's real value. Names get longer with the rounds, so the space
-never runs out; where ``MOST_ROUNDS`` do not suffice an error is raised and
-nothing is replaced.
+surrogate is somebody's real value. Every kind widens with the rounds - names get
+parts, all others a sign more after ``SAME_FORM`` rounds, then two, and so on - so
+the space of a form that the corpus itself fills does not run out; where
+``MOST_ROUNDS`` do not suffice an error is raised and nothing is replaced.
 
 Only documents with entities are joined; occurrences are what is shuffled, and
 their values - a common one may fill a third of all rows - are joined by sort-merge,
@@ -39,6 +41,8 @@ from pyspark.sql import functions as F
 from cuesmith.llm.common import staged
 
 MOST_ROUNDS = 64
+#: Rounds in which a surrogate has exactly its original's form, and those for each sign more.
+SAME_FORM, MORE = 4, 3
 
 # ---- fixed values: given names by gender and script, family names by script, titles by gender
 GIVEN = {
@@ -85,6 +89,8 @@ PATTERNS = {
     "quoted": rf"(?<={_KEY.format('password|passwd|secret|token')}{_QUOTE})(?=(?:[^\s\"'\\A-Za-z0-9]*+[A-Za-z0-9]){{6}})[^\s\"'\\]++(?=\\?[\"'])",
     "secret": rf"(?<!{_SIGN})(?={_SIGN}{{16}}|(?={_SIGN}{{6}})(?=[0-9_/+-]*+[A-Za-z])[A-Za-z_/+-]*+[0-9])(?=(?:[_/+-]*+[A-Za-z0-9]){{6}})(?<={_KEY.format('token|secret|key|password|passwd')}(?:{_QUOTE})?){_SIGN}++(?:\.{_SIGN}++)*+={{0,2}}",
     "ip": rf"(?<![\p{{L}}0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
+    "ip6": r"(?<![\p{L}0-9:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]*:){2,7}[0-9A-Fa-f]+(?![:0-9A-Fa-f]))(?:[0-9A-Fa-f]{1,4}:)+(?::[0-9A-Fa-f]{1,4})+)(?![\p{L}0-9:])",
+    "key": r"(?:(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![\p{L}0-9_-])",
     "iban": r"(?<![\p{L}0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}0-9])",
     "phone": (
         r"(?=[+(0-9])(?:(?<![\p{L}0-9+])\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}"
@@ -112,7 +118,7 @@ def _let(value: Column, use) -> Column:
 def _kind(found: Column) -> Column:
     out = F.lit("name")
     # one by one, on the few strings found; a secret has lost what stood before it and takes the rest
-    for kind in ("number", "ssn", "phone", "iban", "ip", "email"):
+    for kind in ("number", "ssn", "phone", "iban", "key", "ip6", "ip", "email"):
         out = F.when(found.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return F.when((out == "name") & ~found.rlike(f"^(?:{PATTERNS['name']})$"), "secret").otherwise(out)
 
@@ -176,7 +182,7 @@ def _letter(sign: Column, number: Column, hexadecimal: Column) -> Column:
 def _alike(value: Column, stream: Column, stays: Column) -> Column:
     """``value`` with all but its first ``stays`` signs replaced by signs of their sort."""
     signs = F.filter(F.split(value, ""), lambda s: s != "")
-    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$") & value.rlike("[A-Fa-f]")
+    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9a-f:]*:[0-9a-f:]*|[0-9A-F:]*:[0-9A-F:]*)$") & value.rlike("[A-Fa-f:]")
     return _let(hexadecimal, lambda h: F.array_join(F.transform(signs, lambda s, i: F.when(i < stays, s).otherwise(_letter(s, stream[i], h))), ""))
 
 
@@ -205,12 +211,18 @@ def _draw(key: str, kind: Column, value: Column, draw: Column) -> Column:
 
 def _drawn(kind: Column, value: Column, draw: Column, stream: Column) -> Column:
     country = F.length(F.regexp_extract(value, r"^\+(?:1|7|[2-9][0-9])", 0))
-    stays = F.when(kind == "phone", country).when(kind == "iban", 2).otherwise(0)
+    prefix = F.length(F.regexp_extract(value, "^(?:[a-z]+_live_|[a-z]+_test_|AKIA|gh[pousr]_|xox[abprs]-)", 0))
+    stays = F.when(kind == "phone", country).when(kind == "iban", 2).when(kind == "key", prefix).otherwise(0)
     alike = _alike(value, stream, stays)
+    # wider forms of later rounds: more signs in front of an address, behind all else
+    more = F.greatest(F.lit(0), F.ceil((draw - SAME_FORM + 1) / MORE)).cast("int")
+    places = F.filter(F.sequence(F.lit(0), more), lambda i: i > 0)
+    letters, digits = (F.array_join(F.transform(places, lambda i: _pick(signs, stream[F.pmod(i * 3, F.lit(8))] + i)), "") for signs in (ALPHABETS["latin"], ALPHABETS["digit"]))
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(stream[i], F.lit(254)) + 1).cast("string")), ".")
     tail = F.regexp_extract(value, r"\.[^.]+$", 0)  # the top-level domain stays
-    address = F.concat(alike.substr(F.lit(1), F.length(value) - F.length(tail)), tail)
-    out = F.when(kind == "ip", octets).when(kind == "email", address).when(kind == "number", _let(alike, lambda x: _check_digit(x, value))).when(kind == "iban", _let(alike, _iban)).otherwise(alike)
+    address = F.concat(letters, alike.substr(F.lit(1), F.length(value) - F.length(tail)), tail)
+    out = F.when(kind == "ip", octets).when(kind == "email", address).when(kind == "number", _let(F.concat(digits, alike), lambda x: _check_digit(x, value))).when(kind == "iban", _let(F.concat(alike, F.upper(letters)), _iban))
+    out = out.when(kind == "ip6", alike).when(kind.isin("secret", "key"), F.concat(alike, letters)).otherwise(F.concat(alike, digits))
     count = F.floor(draw / 2).cast("int") + 1  # parts of a name: more with later rounds
     tables = {f"family/{script}": names for script, names in FAMILY.items()} | {f"given/{g}/{script}": names for (g, script), names in GIVEN.items()}
     tables |= {f"given/u/{script}": " ".join(n for (_, s), n in GIVEN.items() if s == script) for script in FAMILY}
