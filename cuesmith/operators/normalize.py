@@ -235,3 +235,68 @@ def speaker_fields(cues: DataFrame, name) -> DataFrame:
         "speaker_label": F.when(dialogue & ~open_, name(known[0])),
         "speaker_segments": F.when(dialogue & ~open_ & (F.size(known) > 1), F.slice(parts, 1, 8)),
     })
+
+
+def srt_sound_tokens(cues: DataFrame) -> DataFrame:
+    """Sound tokens of the bracketed tags in parsed subtitle cues (timeline_id, seq, start_ms, end_ms, lines)."""
+    return sound_tokens(cues.select("timeline_id", F.col("seq").alias("utt"), "start_ms", "end_ms", F.array_join("lines", " ").alias("text")))
+
+
+def caption_inputs(utts: DataFrame, spoken: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Subtitle text of the utterances, and spoken tokens merged with the sounds in their text."""
+    sound = sound_tokens(utts).withColumns({"pos": (F.col("utt") * 100_000 + F.col("k")).cast("long"), "speaker": F.lit(None).cast("string"), "original_start_ms": F.lit(None).cast("long"), "original_end_ms": F.lit(None).cast("long")})
+    known = [c for c in ("original_start_ms", "original_end_ms") if c not in spoken.columns]
+    return backbone(utts), merge_tokens(spoken.withColumns({c: F.lit(None).cast("long") for c in known}), sound)
+
+
+def proportional_words(texts: DataFrame) -> DataFrame:
+    """Words of (timeline_id, start_ms, end_ms, text), each with its share of the time by its signs."""
+    words = texts.select("timeline_id", "start_ms", "end_ms", F.posexplode(F.filter(F.split(F.trim("text"), r"\s+"), lambda w: w != "")).alias("pos", "word"))
+    order = Window.partitionBy("timeline_id").orderBy("pos")
+    upto, total = F.sum(F.length("word")).over(order), F.sum(F.length("word")).over(Window.partitionBy("timeline_id"))
+    span = F.col("end_ms") - F.col("start_ms")
+    at = lambda n: F.col("start_ms") + F.floor(span * n / total)
+    return words.select("timeline_id", "pos", F.col("word").alias("text"), at(upto - F.length("word")).alias("start_ms"), at(upto).alias("end_ms"))
+
+
+#: A provider's result: words in seconds.
+PROVIDER = "transcription_id string, language_code string, text string, words array<struct<text string, start string, end string, type string, speaker_id string, confidence double, logprob double>>"
+
+
+def provider_words(results: DataFrame) -> DataFrame:
+    """Words of provider results (``PROVIDER``), in order."""
+    w = results.select(F.col("transcription_id").alias("timeline_id"), F.posexplode("words").alias("pos", "w"))
+    return w.select("timeline_id", F.col("pos").cast("long").alias("pos"), "w.text", "w.type", "w.start", "w.end", "w.speaker_id", "w.confidence", "w.logprob")
+
+
+def normalized(results: DataFrame, needles) -> dict[str, DataFrame]:
+    """Provider results as ``words`` (milliseconds, speaker letters), ``utterances``, ``audio_events``
+    and ``transcripts`` (duration in seconds, text without event marks)."""
+    from cuesmith.operators.segment import speaker_letters
+
+    raw = provider_words(results)
+    spoken = raw.where(~is_event_word(F.col("text"), F.col("type"), needles))
+    letters = speaker_letters(spoken.select("timeline_id", "pos", F.col("speaker_id").alias("speaker"))).select("timeline_id", F.col("speaker").alias("speaker_id"), "letter")
+    sure = F.when(F.coalesce("logprob", F.lit(0.0)) != 0, 1.0).otherwise(F.coalesce("confidence", F.lit(0.0)))
+    words = spoken.where(F.trim("text") != "").join(letters, ["timeline_id", "speaker_id"], "left").select(
+        "timeline_id", "pos", F.trim("text").alias("text"), F.col("letter").alias("speaker"), seconds_to_ms(F.col("start")).alias("start_ms"), seconds_to_ms(F.coalesce("end", "start")).alias("end_ms"), sure.alias("confidence"),
+    )
+    lasts = raw.groupBy("timeline_id").agg((F.max(seconds_to_ms(F.col("end"))) / 1000).alias("audio_duration"))
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce("text", F.lit(""))), EVENT_WORD, " "), r"\s+", " "))
+    heads = results.select(F.col("transcription_id").alias("timeline_id"), "language_code", clean.alias("text")).join(lasts, "timeline_id", "left").fillna(0.0, ["audio_duration"])
+    return {"words": words, "utterances": utterances(utterance_words(words)), "audio_events": word_events(raw, needles), "transcripts": heads}
+
+
+def result_cues(cues: DataFrame, name) -> DataFrame:
+    """Cues as a result shows them: number, times, lines, type, speaker fields."""
+    fields = speaker_fields(cues, name)
+    return fields.select("timeline_id", F.col("seq").alias("idx"), "start_ms", "end_ms", "lines", F.coalesce("type", F.lit("dialogue")).alias("type"), "speaker_label", "speaker_segments", "speaker_review_required")
+
+
+def job_results(cues: DataFrame, documents: DataFrame, rollups: DataFrame) -> DataFrame:
+    """One nested result a timeline: its cues in order, its subtitle text and its quality rollup, as JSON."""
+    fields = [c for c in cues.columns if c != "timeline_id"]
+    listed = cues.groupBy("timeline_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cues"))
+    qc = rollups.select("timeline_id", F.struct(*[c for c in rollups.columns if c != "timeline_id"]).alias("segmentation_qc"))
+    joined = listed.join(documents.select("timeline_id", F.col("document").alias("srt")), "timeline_id", "left").join(qc, "timeline_id", "left")
+    return joined.select("timeline_id", F.to_json(F.struct("cues", "segmentation_qc", "srt")).alias("result"))

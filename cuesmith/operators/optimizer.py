@@ -20,6 +20,7 @@ from functools import cached_property
 from itertools import accumulate, combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuesmith.functions import words as W
 from cuesmith.functions.layout import Spec, fits, is_cjk, render, traits
@@ -344,3 +345,9 @@ def decision_table(cues: DataFrame, spec: Spec = Spec()) -> DataFrame:
 
     wanted = cues.select(*[c.split(" ", 1)[0] for c in _columns(CUE)]).where("start_ms is not null and end_ms is not null")
     return fold(wanted, "seq", DECISION, step)
+
+
+def key_summary(decided: DataFrame) -> DataFrame:
+    """By timeline: decisions, distinct keys and operations, and whether all keys differ."""
+    s = decided.groupBy("timeline_id").agg(F.count("*").alias("n_decisions"), F.countDistinct("decision_key").alias("n_keys"), F.array_sort(F.collect_set("operation")).alias("operations"))
+    return s.withColumn("unique", F.col("n_decisions") == F.col("n_keys"))

@@ -170,10 +170,11 @@ def phrase_safe(lines: Column, phrase: Column, max_cpl: int) -> Column:
     return (F.size(flat) < 2) | (F.size(starts) == 0) | F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flat) - 1)), lambda b: (b < F.size(flat)) & good(b))
 
 
-def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl: int = 42, min_ms: int = 800, gap_ms: int = 80, num: int = 25, den: int = 1, speaker: str | None = None) -> DataFrame:
+def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl: int = 42, min_ms: int = 800, gap_ms: int = 80, num: int = 25, den: int = 1, speaker: str | None = None, label: str | None = None) -> DataFrame:
     """timeline_id, seq, issue_code, severity, metric, attempted, result: a row for each issue.
 
-    ``speaker`` names the column that adjacent cues are compared by (none: those checks are off).
+    ``speaker`` names the column that adjacent cues are compared by, ``label`` the one that says that
+    a cue's text opens with a label (none: those checks are off).
     """
     text = F.array_join("lines", "\n")
     cjk = text.rlike("[　-鿿가-힯＀-￯]")
@@ -218,6 +219,22 @@ def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl:
             ("OVERLOADED_UNDERFILLED_ADJACENCY", F.col("_same") & (F.least("_said", "_said2") > 0) & (load >= LOAD_RATIO), load, False, F.lit("flagged")),
         ]
 
+    if label:
+        tag = F.regexp_extract(F.col("_text"), r"^(?:\[[^\]]+:\]\s+|>>\s*[^:]+:\s+|\([^)]+\)\s+)", 0)
+        body = F.col("_text").substr(F.length(tag) + 1, F.length("_text"))
+        here = F.coalesce(F.col(label) != "", F.lit(False)) & (tag != "")
+        bare = speed(F.length(F.replace(body, F.lit("\n"), F.lit(""))), F.col("_lasts"))
+        longest = lambda x: F.array_max(F.transform(F.split(x, "\n"), lambda y: F.length(y)))
+        wide = longest(F.col("_text"))
+        flat = words_of(F.col("_text"))
+        part = lambda a, n: F.length(F.array_join(F.slice(flat, a, n), " "))
+        two = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flat) - 1)), lambda b: (b < F.size(flat)) & (part(F.lit(1), b) <= max_cpl) & (part(b + 1, F.size(flat) - b) <= max_cpl))
+        later = F.least(start + need, F.coalesce(F.col("_from") - gap_ms, start + need))
+        rows += [
+            ("SPEAKER_LABEL_CAUSED_CPS_FAILURE", here & (bare <= max_cps) & (F.col("_cps") > max_cps), F.col("_cps"), True, result((later > end) & (F.col("_chars") / ((later - start) / 1000.0) <= max_cps))),
+            ("SPEAKER_LABEL_CAUSED_CPL_FAILURE", here & (longest(body) <= max_cpl) & (wide > max_cpl), wide, True, result(two)),
+        ]
+
     def issue(code, when, metric, attempted, outcome):
         value = F.lit(None).cast("double") if metric is None else metric.cast("double")
         return F.when(when, F.struct(F.lit(code).alias("issue_code"), F.lit(SEVERITY[code]).alias("severity"), value.alias("metric"), F.lit(attempted).alias("attempted"), outcome.alias("result")))

@@ -55,3 +55,25 @@ def dedup(tokens: DataFrame) -> DataFrame:
     """Of equal (text, start, end, speaker) in a timeline the first token stays."""
     first = Window.partitionBy("timeline_id", "text", "start_ms", "end_ms", "speaker").orderBy("pos")
     return tokens.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def described_groups(tokens: DataFrame, pause_ms: int = PAUSE_MS) -> DataFrame:
+    """Sentence groups with the half-open range of their words, whether the speaker is known, and
+    - where a hard pause opened them - its length, the utterances on both sides and the threshold."""
+    order = Window.partitionBy("timeline_id").orderBy("pos")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    t = with_groups(tokens, pause_ms)
+    t = t.withColumns({
+        "_gap": F.when(F.col("hard"), F.col("start_ms") - F.last(F.when(F.col("timed"), F.col("end_ms")), ignorenulls=True).over(past)),
+        "_from": F.when(F.col("hard"), F.lag("utt").over(order)), "_number": F.row_number().over(order),
+    })
+    g = t.groupBy("timeline_id", "group_id").agg(
+        F.first("speaker").alias("speaker"), F.min(F.when(F.col("timed"), F.col("start_ms"))).alias("start_ms"), F.max(F.when(F.col("timed"), F.col("end_ms"))).alias("end_ms"),
+        (F.min("_number") - 1).cast("long").alias("source_word_start"), F.max("_number").cast("long").alias("source_word_end"), F.min_by("utt", "pos").alias("source_utterance_id"),
+        F.min_by("hard", "pos").alias("hard_before"), F.min_by("_gap", "pos").alias("gap_before_ms"), F.min_by("_from", "pos").alias("prev_utterance_id"),
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("words"),
+    )
+    return g.withColumns({
+        "speaker_known": F.col("speaker").isNotNull(), "review_required": F.col("speaker").isNull(), "timing_unresolved": F.col("start_ms").isNull(),
+        "effective_pause_boundary_ms": F.when(F.col("hard_before"), F.lit(pause_ms).cast("long")),
+    })

@@ -11,6 +11,7 @@ from dataclasses import replace
 from statistics import median
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cuesmith.functions import speech as S
 from cuesmith.functions.layout import Spec, fits, is_cjk, render, visible_chars, wrap
@@ -194,3 +195,10 @@ def repair(tokens: DataFrame, provider: str = "elevenlabs", model: str = "scribe
         return [{k: v for k, v in w.items() if k != "timeline_id"} for w in repair_words(rows, provider, model)]
 
     return fold(tokens.select(*names), "pos", REPAIRED, step)
+
+
+def repair_summary(repaired: DataFrame) -> DataFrame:
+    """By timeline: words found, repaired and quarantined, and whether someone has to look."""
+    done = lambda k: F.count_if(F.col("disposition") == k)
+    s = repaired.groupBy("timeline_id").agg(F.count("disposition").alias("detected"), done("repaired").alias("repaired"), done("quarantined").alias("quarantined"))
+    return s.withColumn("review_required", F.col("quarantined") > 0)

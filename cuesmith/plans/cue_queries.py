@@ -596,3 +596,79 @@ def formatted_timelines(spark, sf_dir):
     t = _tokens(spark, sf_dir)
     cues = Q.each(O.with_timings(_packed(spark, sf_dir), t), chain.format_cues)
     return sinks.srt(cues.select("timeline_id", "seq", "start_ms", "end_ms", F.array_join("lines", "\n").alias("text")))
+
+
+# ------------------------------------------------------------- more of the inventory
+
+
+@query(GROUPS + """, w AS (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY pos) AS n FROM gt),
+d AS (SELECT timeline_id, group_id, min(n) - 1 AS source_word_start, max(n) AS source_word_end, arg_min(utt, pos) AS source_utterance_id, arg_min(hard, pos) AS hard_before, min(CASE WHEN hard THEN start_ms - before END) AS gap_before_ms, min(CASE WHEN hard THEN utt0 END) AS prev_utterance_id, count(start_ms) = 0 AS timing_unresolved FROM w GROUP BY ALL)
+SELECT *, CASE WHEN hard_before THEN 1200 END AS effective_pause_boundary_ms FROM d""")
+def seg2_pauses(spark, sf_dir):
+    g = S.described_groups(_tokens(spark, sf_dir))
+    return g.select("timeline_id", "group_id", "source_word_start", "source_word_end", "source_utterance_id", "hard_before", "gap_before_ms", "prev_utterance_id", "timing_unresolved", "effective_pause_boundary_ms")
+
+
+@query(UTTS + """, f AS (SELECT timeline_id, row_number() OVER (PARTITION BY timeline_id ORDER BY utt) AS utt, start_ms, CASE WHEN end_ms > start_ms THEN end_ms ELSE start_ms + 1 END AS end_ms, regexp_extract_all(text, '\\[[^\\]]+\\]') AS tags FROM utts WHERE trim(text) <> ''),
+x AS (SELECT timeline_id, utt, start_ms, end_ms, greatest(1, greatest(1, end_ms - start_ms) // len(tags)) AS share, unnest(tags) AS tag, unnest(range(len(tags))) AS k FROM f WHERE len(tags) > 0)
+SELECT timeline_id, utt, CAST(k AS INT) AS k, upper(trim(tag)) AS text, start_ms + k * share AS start_ms, greatest(start_ms + k * share + 1, least(end_ms, start_ms + k * share + share)) AS end_ms FROM x""")
+def nrm12_srt_sounds(spark, sf_dir):
+    return N.srt_sound_tokens(N.parse_srt(N.backbone(_utts(spark, sf_dir))))
+
+
+@query(TOKENS + """, u AS (SELECT timeline_id, utt, min(start_ms) AS a, max(end_ms) AS b, string_agg(text, ' ' ORDER BY pos) AS t FROM tok WHERE utt = 0 GROUP BY ALL HAVING min(start_ms) IS NOT NULL),
+w AS (SELECT timeline_id, a, b, unnest(string_split(t, ' ')) AS text, unnest(range(len(string_split(t, ' ')))) AS pos FROM u),
+s AS (SELECT *, sum(length(text)) OVER (PARTITION BY timeline_id ORDER BY pos) AS upto, sum(length(text)) OVER (PARTITION BY timeline_id) AS total FROM w)
+SELECT timeline_id, CAST(pos AS INT) AS pos, text, CAST(a + (b - a) * (upto - length(text)) // total AS BIGINT) AS start_ms, CAST(a + (b - a) * upto // total AS BIGINT) AS end_ms FROM s""")
+def src10_proportional(spark, sf_dir):
+    t = _tokens(spark, sf_dir).where("utt = 0")
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    u = t.groupBy("timeline_id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), listed.alias("text")).where("start_ms is not null")
+    return N.proportional_words(u)
+
+
+@query(LINED + """, t AS (SELECT timeline_id, seq, start_ms, end_ms, '[SPEAKER ANN:] ' || lines[1] AS txt FROM lin WHERE len(lines) = 1),
+q AS (SELECT *, greatest(0, end_ms - start_ms) AS lasts, lead(start_ms) OVER (PARTITION BY timeline_id ORDER BY seq) AS after, length(txt) AS n, length(txt) - 15 AS m FROM t),
+r AS (SELECT *, CASE WHEN lasts > 0 THEN n / (lasts / 1000.0) ELSE 'inf'::DOUBLE END AS c1, CASE WHEN lasts > 0 THEN m / (lasts / 1000.0) ELSE 'inf'::DOUBLE END AS c0, least(start_ms + CAST(floor(n / 17 * 1000) AS BIGINT) + 1, coalesce(after - 80, start_ms + CAST(floor(n / 17 * 1000) AS BIGINT) + 1)) AS later FROM q)
+SELECT timeline_id, seq, 'SPEAKER_LABEL_CAUSED_CPS_FAILURE' AS issue_code, CASE WHEN later > end_ms AND n / ((later - start_ms) / 1000.0) <= 17 THEN 'resolved' ELSE 'unresolved' END AS result FROM r WHERE c0 <= 17 AND c1 > 17
+UNION ALL SELECT timeline_id, seq, 'SPEAKER_LABEL_CAUSED_CPL_FAILURE', 'resolved' FROM r WHERE m <= 24 AND n > 24""")
+def qcs4_label_impact(spark, sf_dir):
+    c = _lined(spark, sf_dir).where(F.size("lines") == 1).withColumns({"lines": F.array(F.concat(F.lit("[SPEAKER ANN:] "), F.col("lines")[0])), "label": F.lit("Ann")})
+    return quality.issues(c, label="label", max_cpl=24).where("issue_code like 'SPEAKER_LABEL%'").select("timeline_id", "seq", "issue_code", "result")
+
+
+@query(TOKENS + """, r AS (SELECT conv_id AS timeline_id, count(DISTINCT role) AS n FROM conversations GROUP BY conv_id)
+SELECT t.timeline_id, t.pos, r.n FROM tok t LEFT JOIN r ON r.timeline_id = t.timeline_id AND r.n > 1 WHERE lower(t.text) IN ('a', 'an', 'the')""")
+def jn4_lookup(spark, sf_dir):
+    """Membership in a small constant set, then an equi lookup."""
+    r = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy(F.col("conv_id").alias("timeline_id")).agg(F.countDistinct("role").alias("n")).where("n > 1")
+    return _tokens(spark, sf_dir).where(F.lower("text").isin("a", "an", "the")).select("timeline_id", "pos").join(r, "timeline_id", "left")
+
+
+@query()
+def nrm17_caption_inputs(spark, sf_dir):
+    return N.caption_inputs(_utts(spark, sf_dir), _tokens(spark, sf_dir))[1]
+
+
+@query()
+def nrm28_result_cues(spark, sf_dir):
+    c = N.result_cues(_packed(spark, sf_dir), lambda s: F.concat(F.lit("SPEAKER "), F.upper(F.substring(s, 1, 1))))
+    return c.withColumns({"lines": F.array_join("lines", "|"), "speaker_segments": F.to_json("speaker_segments")})
+
+
+@query()
+def agg12_repair_summary(spark, sf_dir):
+    return P.repair_summary(trp1_repaired(spark, sf_dir))
+
+
+@query()
+def agg16_decision_keys(spark, sf_dir):
+    return optimizer.key_summary(opt9_decisions(spark, sf_dir))
+
+
+@query()
+def snk5_job_results(spark, sf_dir):
+    c = _packed(spark, sf_dir)
+    shown = c.select("timeline_id", "seq", "start_ms", "end_ms", "type", "lines")
+    flat = c.select("timeline_id", "seq", "start_ms", "end_ms", F.array_join("lines", "\n").alias("text"))
+    return N.job_results(shown, sinks.srt(flat), quality.rollup(quality.issues(c, max_cps=45)))
