@@ -24,7 +24,8 @@ parts, all others a sign more after ``SAME_FORM`` rounds, then two, and so on -
 the space of a form that the corpus itself fills does not run out; where
 ``MOST_ROUNDS`` do not suffice an error is raised and nothing is replaced.
 
-Only documents with entities are joined; occurrences are what is shuffled, and
+The pattern runs over every text once; the rows are staged with what it found. Only
+documents with entities are joined; occurrences are what is shuffled, and
 their values - a common one may fill a third of all rows - are joined by sort-merge,
 whose skewed partitions Spark splits.
 
@@ -260,10 +261,14 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> DataFrame:
     """``docs`` with every entity of ``text`` replaced; all rows and columns stay."""
-    column = F.col(f"`{text}`")
-    has = F.coalesce(column.rlike(PII), F.lit(False))
-    found = docs.where(has).select(F.xxhash64(column).alias("a"), F.hash(column).alias("b"), F.length(column).alias("c"), F.regexp_extract_all(column, F.lit(PII), F.lit(0)).alias("found"))
-    found = found.distinct().select("a", "b", "c", F.posexplode("found").alias("place", "entity"))
+    names = docs.columns
+    row = F.struct(*[F.col(f"`{n}`") for n in names])
+    # the one look at every text; what follows reads the texts with entities alone
+    scanned = staged(docs.select(row.alias("row"), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PII), F.lit(0)).alias("found")), "scanned")
+    has = F.coalesce(F.size("found"), F.lit(0)) > 0
+    column = F.col("row").getField(text)
+    some = scanned.where(has).withColumns({"a": F.xxhash64(column), "b": F.hash(column), "c": F.length(column)})
+    found = some.select("a", "b", "c", "found").distinct().select("a", "b", "c", F.posexplode("found").alias("place", "entity"))
     parts = found.select("a", "b", "c", "place", F.posexplode(_parts(F.col("entity"), _kind(F.col("entity")))).alias("part", "x"))
     parts = staged(parts.select("a", "b", "c", "place", "part", F.col("x.kind").alias("kind"), F.col("x.value").alias("seen"), _same(F.col("x.kind"), F.col("x.value")).alias("value")), "parts")
     table = assign(parts.where("kind != ''"), key)
@@ -271,27 +276,26 @@ def replace(docs: DataFrame, key: str = "surrogates", text: str = "text") -> Dat
     upper = (F.col("seen") == F.upper("seen")) & F.col("kind").contains("/") & (F.length("seen") > 1)
     new = F.when(F.col("kind") == "", F.col("seen")).when(upper, F.upper("surrogate")).otherwise(F.col("surrogate"))
     joined = joined.select("a", "b", "c", F.struct("place", "part", new.alias("new")).alias("x"))
-    listed = joined.groupBy("a", "b", "c").agg(F.sort_array(F.collect_list("x")).alias("xs"))
-    return _rewritten(docs, has, staged(listed, "listed"), text)
+    listed = staged(joined.groupBy("a", "b", "c").agg(F.sort_array(F.collect_list("x")).alias("xs")), "listed")
 
+    def rebuilt(new: Column) -> list[Column]:
+        return [(new if n == text else F.col("row").getField(n)).alias(n) for n in names]
 
-def _rewritten(docs: DataFrame, has: Column, listed: DataFrame, text: str) -> DataFrame:
-    """The texts put together again: what stands between the entities, and the new parts in turn."""
-    column, names = F.col(f"`{text}`"), docs.columns
-    row = F.struct(*[F.col(f"`{n}`") for n in names])
-    some = docs.where(has).select(F.xxhash64(column).alias("a"), F.hash(column).alias("b"), F.length(column).alias("c"), row.alias("row"))
+    changed = some.join(listed, ["a", "b", "c"]).select(*rebuilt(_rewritten(column)))
+    return scanned.where(~has).select(*rebuilt(column)).unionByName(changed)
+
+
+def _rewritten(text: Column) -> Column:
+    """A text put together again: what stands between its entities, and the new parts ``xs`` in turn."""
     # parts of one entity (a title and names) are joined with the blanks they had
-    pieces = F.transform("xs", lambda x, i: F.concat(F.when(x["part"] > 0, F.lit(" ")).otherwise(F.lit("")), x["new"]))
+    pieces = F.transform("xs", lambda x: F.concat(F.when(x["part"] > 0, F.lit(" ")).otherwise(F.lit("")), x["new"]))
     begins = F.transform("xs", lambda x: F.when(x["part"] == 0, x["place"]).otherwise(F.lit(-1)))
 
     def whole(gaps: Column) -> Column:
         marked = F.zip_with(begins, pieces, lambda p, s: F.when(p >= 0, F.concat(F.element_at(gaps, p + 1), s)).otherwise(s))
         return F.concat(F.array_join(marked, ""), F.element_at(gaps, -1))
 
-    rebuilt = _let(F.split(F.col("row").getField(text), PII, -1), whole)
-    joined = some.join(listed, ["a", "b", "c"]).select("row", rebuilt.alias("new"))
-    out = joined.select(*[F.col("new").alias(n) if n == text else F.col("row").getField(n).alias(n) for n in names])
-    return docs.where(~has).unionByName(out)
+    return _let(F.split(text, PII, -1), whole)
 
 
 def count(text: Column) -> Column:
