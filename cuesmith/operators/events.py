@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuesmith.operators.cues import fold
+
 
 def merge_adjacent(events: DataFrame, gap_ms: int = 2000, least_ms: int = 300) -> DataFrame:
     """Neighbours of one type with at most ``gap_ms`` between them become one event;
@@ -28,18 +32,18 @@ def classify(tag: Column, needles: list[tuple[str, str]]) -> Column:
 
 
 def thin_out(cues: DataFrame, density: str = "conservative", least_ms: int = 250, gap_ms: int = 1500) -> DataFrame:
-    """Sound cues far enough from the last one kept: a fold over each timeline's cues."""
+    """Sound cues (timeline_id, start_ms, end_ms, pos) far enough from the last one kept, in order:
+    ``conservative`` wants the whole gap and a least length, others half the gap, ``aggressive`` nothing."""
     if density == "aggressive":
         return cues
-    listed = F.sort_array(F.collect_list(F.struct("start_ms", "end_ms", "pos")))
-    gap = gap_ms if density == "conservative" else gap_ms // 2
-    empty = F.struct(F.lit(-999_999).cast("long").alias("until"), F.array().cast("array<struct<start_ms:bigint,end_ms:bigint,pos:bigint>>").alias("kept"))
-
-    def step(acc, x):
-        fits = x["start_ms"] - acc["until"] >= gap
-        if density == "conservative":
-            fits &= x["end_ms"] - x["start_ms"] >= least_ms
-        return F.when(fits, F.struct(x["end_ms"].alias("until"), F.concat(acc["kept"], F.array(x)).alias("kept"))).otherwise(acc)
-
-    kept = cues.groupBy("timeline_id").agg(F.aggregate(listed, empty, step)["kept"].alias("kept"))
-    return kept.select("timeline_id", F.inline("kept"))
+    gap, least = (gap_ms, least_ms) if density == "conservative" else (gap_ms // 2, 0)
+
+    def kept(rows: list[dict]) -> Iterator[dict]:
+        until = None
+        for r in sorted(rows, key=lambda r: (r["start_ms"], r["end_ms"], r["pos"])):
+            if (until is None or r["start_ms"] - until >= gap) and r["end_ms"] - r["start_ms"] >= least:
+                until = r["end_ms"]
+                yield {k: r[k] for k in ("start_ms", "end_ms", "pos")}
+
+    wanted = cues.where("start_ms is not null and end_ms is not null").select("timeline_id", "start_ms", "end_ms", "pos")
+    return fold(wanted, "start_ms", "timeline_id long, seq long, start_ms long, end_ms long, pos long", kept).drop("seq")

@@ -58,6 +58,9 @@ ORACLE_SQL = {
     "seg3_sentence_ends": f"SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(list_filter(ws, lambda w: {_ends('w')})) AS BIGINT) AS n_ends FROM (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda w: w <> '') AS ws FROM documents)",
     "seg5_unresolved": GROUPS + " SELECT timeline_id, group_id, n_words, text FROM grp WHERE start_ms IS NULL",
     "flt1_timing": TOKENS + " SELECT timeline_id, count(*) AS n_tokens, count(start_ms) AS n_timed, max(end_ms) AS until_ms FROM tok GROUP BY timeline_id",
+    "flt3_density": "WITH RECURSIVE " + EVENTS.strip().removeprefix("WITH") + """, w AS (SELECT *, row_number() OVER (PARTITION BY timeline_id ORDER BY start_ms, end_ms, pos) AS n FROM ev),
+k AS (SELECT timeline_id, n, pos, true AS kept, end_ms AS until FROM w WHERE n = 1 UNION ALL SELECT w.timeline_id, w.n, w.pos, w.start_ms - k.until >= 86400000, CASE WHEN w.start_ms - k.until >= 86400000 THEN w.end_ms ELSE k.until END FROM k JOIN w ON w.timeline_id = k.timeline_id AND w.n = k.n + 1)
+SELECT timeline_id, count(*) AS n_kept, CAST(sum(pos) AS BIGINT) AS sum_pos FROM k WHERE kept GROUP BY timeline_id""",
     "nrm2_event_types": "SELECT kind, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN contains(t, '{a}') THEN '{b}'" for a, b in TAGS) + f" END AS kind FROM (SELECT lower(regexp_replace({SAMPLES!r}[event_id % {len(SAMPLES)} + 1], '\\s+', ' ', 'g')) AS t FROM events)) GROUP BY kind",
     "nrm5_speaker_letters": TOKENS + ", f AS (SELECT timeline_id, speaker, min(pos) AS first_pos FROM tok WHERE speaker IS NOT NULL GROUP BY ALL) SELECT *, chr(CAST(64 + row_number() OVER (PARTITION BY timeline_id ORDER BY first_pos) AS INT)) AS letter FROM f",
     "nrm7_utterances": TOKENS + " SELECT timeline_id, utt, min(speaker) AS speaker, min(start_ms) AS start_ms, arg_max(end_ms, pos) AS end_ms, string_agg(text, ' ' ORDER BY pos) AS text, coalesce(round_even(sum(length(text) * 37 % 100) * 10000 / nullif(count(*) FILTER (length(text) * 37 % 100 > 0), 0) / 100, 0) / 10000, 0) AS confidence FROM tok WHERE start_ms IS NOT NULL GROUP BY timeline_id, utt",

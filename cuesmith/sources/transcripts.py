@@ -18,10 +18,19 @@ BASELINE = (
 )
 
 
-def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """One row per transcript file that has utterances; the duration falls back to its older name."""
-    raw = spark.read.schema(BASELINE).json(path, multiLine=True).where(F.size("utterances") > 0)
-    return raw.withColumn("audio_duration", F.coalesce("audio_duration_sec", "audio_duration")).drop("audio_duration_sec")
+def baseline(spark: SparkSession, path: str, strict: bool = False, most_bytes: int = 128 << 20) -> DataFrame:
+    """One row per transcript file that has utterances; the duration falls back to its older name.
+
+    ``strict`` makes a file without utterances, or of more than ``most_bytes``, an error; else the
+    first is left out and the second read."""
+    if strict:
+        large = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") > most_bytes).head(1)  # names and lengths alone are read
+        if large:
+            raise ValueError(f"{large[0].path} has {large[0].length} bytes")
+    raw = spark.read.schema(BASELINE).json(path, multiLine=True)
+    has = F.coalesce(F.size("utterances"), F.lit(0)) > 0
+    kept = raw.where(F.when(has, True).otherwise(F.raise_error(F.lit("a transcript has no utterances")).cast("boolean"))) if strict else raw.where(has)
+    return kept.withColumn("audio_duration", F.coalesce("audio_duration_sec", "audio_duration")).drop("audio_duration_sec")
 
 
 def tokens_of(baselines: DataFrame, key: str = "transcript_id") -> DataFrame:
