@@ -252,7 +252,10 @@ def render(text: str, runs: Sequence[Run], spec: Spec) -> list[str]:
 
 def fits(text: str, runs: Sequence[Run], spec: Spec) -> bool:
     """Whether the cue as shown, labels included, keeps to lines and signs."""
-    lines = render(text.strip(), runs, spec)
+    return lines_fit(render(text.strip(), runs, spec), spec)
+
+
+def lines_fit(lines: Sequence[str], spec: Spec) -> bool:
     return len(lines) <= spec.max_lines and all((cjk_count(x) if is_cjk(x) else len(x)) <= spec.max_chars for x in lines)
 
 

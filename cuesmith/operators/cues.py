@@ -75,8 +75,9 @@ class Cue:
 
 def fold(df: DataFrame, order: str, schema: str, step: Callable[[list[dict]], Iterable[dict]], **arguments) -> DataFrame:
     """``step`` over the rows of each timeline in turn; its rows are numbered from 1 as ``seq``."""
-    ship(df.sparkSession)
-    rows = df.repartition("timeline_id").sortWithinPartitions("timeline_id", order)
+    spark = ship(df.sparkSession)
+    # a stated number: steps are slow for their bytes, so partitions must not be united by size
+    rows = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "timeline_id").sortWithinPartitions("timeline_id", order)
     names = [c.split(" ", 1)[0] for c in _columns(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

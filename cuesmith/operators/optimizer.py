@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesmith.functions import words as W
-from cuesmith.functions.layout import Spec, fits, is_cjk, render, traits
+from cuesmith.functions.layout import Spec, is_cjk, lines_fit, render, traits
 from cuesmith.functions.text import canonical
 from cuesmith.operators.cues import CUE, Cue, fold, open_delimiter, read, _columns
 
@@ -67,6 +67,14 @@ class Stream:
         ends = accumulate(len(c.text.split()) for c in self.cues[:-1])
         return tuple(k for k in ends if 0 < k < len(self.words))
 
+    @cached_property
+    def _upto(self) -> list[int]:
+        return list(accumulate((len(w) + 1 for w in self.words), initial=0))
+
+    def length(self, a: int, b: int) -> int:
+        """Signs of the words from ``a`` to before ``b``."""
+        return self._upto[b] - self._upto[a] - 1
+
     @property
     def speaker(self) -> str | None:
         return self.cues[0].first_speaker
@@ -87,18 +95,28 @@ class Stream:
 # ------------------------------------------------------------------ candidates
 
 
-def arranged(s: Stream, cuts: tuple[int, ...], spec: Spec) -> list[Cue]:
-    """The cues of an arrangement, the least gap between them; none if one would have no time."""
-    edges, out, runs = [0, *cuts, len(s.words)], [], ((s.speaker, 0),)
+def attempt(s: Stream, cuts: tuple[int, ...], spec: Spec, deferred: bool = False) -> tuple[list[Cue], str | None]:
+    """The cues of an arrangement, the least gap between them, or the first limit it breaks. Times
+    and lengths are looked at before a part is laid out, and no part after the first that fails."""
+    edges, spans, end = [0, *cuts, len(s.words)], [], None
     for a, b in zip(edges, edges[1:]):
-        start, end = s.span(a, b)
-        start = max(start, out[-1].end + spec.gap_ms) if out else start
-        if a >= b or end <= start:
-            return []
+        start, until = s.span(a, b) if a < b else (0, 0)
+        start, end = (start if end is None else max(start, end + spec.gap_ms)), until
+        if end <= start:
+            return [], "EMPTY_CANDIDATE"
+        spans.append((a, b, start, end))
+    out, runs = [], ((s.speaker, 0),)
+    for a, b, start, end in spans:
+        broken = _limits(end - start, "", spec, deferred)
+        if broken or s.length(a, b) >= spec.budget + spec.max_lines:
+            return [], broken or "LINE_OR_CPL_FAIL"
         timings = tuple((w, x, y) for w, (x, y, _) in zip(s.words[a:b], s.times[a:b]))
-        out.append(Cue(start, end, " ".join(s.words[a:b]), runs, timings=timings))
-    roomy = all(len(c.text) < spec.budget + spec.max_lines for c in out)  # else it cannot fit, and need not be laid out
-    return [c.shown(spec) for c in out] if roomy else out
+        c = Cue(start, end, " ".join(s.words[a:b]), runs, timings=timings).shown(spec)
+        broken = _limits(c.lasts, _body(c), spec, deferred) if lines_fit(c.lines, spec) else "LINE_OR_CPL_FAIL"
+        if broken:
+            return [], broken
+        out.append(c)
+    return (out, None) if out else ([], "EMPTY_CANDIDATE")
 
 
 def _limits(lasts: int, text: str, spec: Spec, deferred: bool) -> str | None:
@@ -113,23 +131,6 @@ def _body(c: Cue) -> str:
     return " ".join(c.lines).strip() or c.text
 
 
-def veto(parts: list[Cue], words: list[str], spec: Spec, deferred: bool = False) -> str | None:
-    """The first limit that an arrangement breaks."""
-    if not parts:
-        return "EMPTY_CANDIDATE"
-    if [w for p in parts for w in p.text.split()] != words:
-        return "TEXT_CONSERVATION_FAILED"
-    for p in parts:
-        broken = _limits(p.lasts, _body(p), spec, deferred)
-        if broken != "CPS_OVER_MAX" and broken:
-            return broken
-        if len(p.text) >= spec.budget + spec.max_lines or not fits(p.text, p.runs, spec):
-            return "LINE_OR_CPL_FAIL"
-        if broken:
-            return broken
-    return None
-
-
 def cut_sets(s: Stream) -> list[tuple[str, tuple[int, ...]]]:
     """(operation, cuts): as it is, all in one, one clean cut, two clean cuts three words apart."""
     out, n = [("no_change", s.own_cuts)], len(s.words)
@@ -154,9 +155,9 @@ def best_path(s: Stream, spec: Spec, as_shown: bool, deferred: bool = False) ->
         if i not in best:
             continue
         for j in places[here + 1 :]:
-            text = " ".join(s.words[i:j])
-            if len(text) > spec.budget and j > i + 1:
+            if s.length(i, j) > spec.budget and j > i + 1:
                 break
+            text = " ".join(s.words[i:j])
             start, end = s.span(i, j)
             lines = render(text, ((s.speaker, 0),), spec) if as_shown else [text]
             wide = len(lines) > spec.max_lines or max(map(len, lines)) > spec.max_chars if as_shown else len(text) > spec.budget
@@ -249,12 +250,12 @@ def decide(s: Stream, spec: Spec, deferred: bool = False) -> Decision:
         return Decision(s, "no_change", (), s.cues, passthrough="cjk_window_deferred")
     options = cut_sets(s) if len(s.words) <= MOST_WORDS else []
     path, met = best_path(s, spec, False, deferred)
-    if path is not None and veto(arranged(s, path, spec), s.words, spec, deferred) in ("LINE_OR_CPL_FAIL", "CPS_OVER_MAX"):
+    if path is not None and attempt(s, path, spec, deferred)[1] in ("LINE_OR_CPL_FAIL", "CPS_OVER_MAX"):
         shown, met_shown = best_path(s, spec, True, deferred)
         path, met = (shown, met_shown) if shown is not None else (path, met)
     if path is not None and path not in [cuts for _, cuts in options]:
         options.append(("resegment_2" if len(path) == 1 else "resegment_3", path))
-    tried = [(op, cuts, parts := arranged(s, cuts, spec), veto(parts, s.words, spec, deferred)) for op, cuts in options]
+    tried = [(op, cuts, *attempt(s, cuts, spec, deferred)) for op, cuts in options]
     rejected = tuple(dict.fromkeys([v for *_, v in tried if v] + (met if path is not None else [])))
     ranked = sorted(((-score(parts, op, spec), len(parts), cuts, op != "no_change", op, parts) for op, cuts, parts, v in tried if v is None), key=lambda x: x[:4])
     if not ranked:

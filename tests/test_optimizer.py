@@ -70,7 +70,7 @@ def test_decisions_keep_text_and_limits(seed):
     assert len({d.hashes(k)[3] for k in range(3)}) == 3 and d.hashes(0) == d.hashes(0)
     if not d.passthrough:
         assert all(fits(p.text, p.runs, SPEC) and SPEC.min_display_ms <= p.lasts <= SPEC.max_display_ms for p in d.parts)
-        best = [O.score(a, op, SPEC) for op, cuts in d.candidates if not O.veto(a := O.arranged(d.stream, cuts, SPEC), d.stream.words, SPEC)]
+        best = [O.score(parts, op, SPEC) for op, cuts in d.candidates for parts, broken in [O.attempt(d.stream, cuts, SPEC)] if not broken]
         assert O.score(list(d.parts), d.op, SPEC) == pytest.approx(max(best))
         kind, measured, other = d.provenance()
         assert measured + other == (0 if d.op == "no_change" else len(d.cuts)) and (kind == "inherited") == (measured + other == 0)
