@@ -9,6 +9,8 @@ dialogue; the last cue has no next one; an empty table gives no row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,42 +134,39 @@ def report(cues: DataFrame, phrases: list[str], spec: Spec = Spec(), min_sound_m
 # ------------------------------------------------------- segmentation issues
 
 
-def _tagged(lines: Column) -> Column:
-    """(word, line) for each word of the text."""
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(words_of(x), lambda w: F.struct(plain_word(w).alias("w"), i.alias("line")))))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, though lambda functions in it refer to it often."""
+    return F.transform(F.array(value), use)[0]
 
 
 def broken_phrase(lines: Column, phrases: list[str]) -> Column:
     """The first phrase of two words or more that a line break cuts, else null."""
-    tagged, found = _tagged(lines), F.lit(None).cast("string")
-
-    def cut(want: list[str]) -> Column:
-        m = len(want)
-
-        def here(i: Column) -> Column:
-            same = F.transform(F.slice(tagged, i, m), lambda x: x["w"]) == F.array(*map(F.lit, want))
-            return same & (tagged[i - 1]["line"] != tagged[i + m - 2]["line"])
-
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(tagged) - m + 1)), lambda i: i + m - 1 <= F.size(tagged))
-        return F.exists(places, here)
-
+    plain = F.array_join(F.transform(lines, lambda x: F.array_join(F.transform(words_of(x), plain_word), " ")), "\n")
+    found = F.lit(None).cast("string")
     for phrase in reversed(phrases):
-        want = [x for x in ("".join(s for s in w if s not in ".,;:!?\"'()[]") for w in phrase.lower().split()) if x]
-        if len(want) > 1:
-            found = F.when(cut(want), phrase).otherwise(found)
+        want = [re.escape(x) for x in ("".join(s for s in w if s not in ".,;:!?\"'()[]") for w in phrase.lower().split()) if x]
+        if len(want) > 1:  # its words with blanks or line breaks between them, not blanks alone
+            whole = rf"(?<![^ \n])(?!{' '.join(want)}(?![^ \n])){'[ \n]'.join(want)}(?![^ \n])"
+            found = F.when(plain.rlike(whole), phrase).otherwise(found)
     return found
 
 
 def phrase_safe(lines: Column, phrase: Column, max_cpl: int) -> Column:
     """Whether two lines of at most ``max_cpl`` signs hold the text without cutting ``phrase``."""
+    want = F.filter(F.transform(words_of(F.lower(phrase)), plain_word), lambda w: w != "")
+
+    def judged(x: Column) -> Column:
+        flat, m = x["flat"], F.size(x["want"])
+        starts = F.filter(F.sequence(F.lit(1), F.size(flat)), lambda i: F.slice(x["norm"], i, m) == x["want"])
+        return F.when((F.size(flat) < 2) | (F.size(starts) == 0), True).otherwise(_let(F.element_at(starts, 1) - 1, lambda first: fits_around(flat, first, m)))
+
+    def fits_around(flat: Column, first: Column, m: Column) -> Column:
+        part = lambda a, n: F.length(F.array_join(F.slice(flat, a, n), " "))
+        good = lambda b: ~((first < b) & (b < first + m)) & (part(F.lit(1), b) <= max_cpl) & (part(b + 1, F.size(flat) - b) <= max_cpl)
+        return F.exists(F.sequence(F.lit(1), F.size(flat) - 1), good)
+
     flat = words_of(F.array_join(lines, " "))
-    norm, want = F.transform(flat, plain_word), F.filter(F.transform(words_of(F.lower(phrase)), plain_word), lambda w: w != "")
-    m = F.size(want)
-    starts = F.filter(F.sequence(F.lit(1), F.size(flat)), lambda i: F.slice(norm, i, m) == want)
-    first = F.element_at(starts, 1) - 1  # words before the phrase
-    part = lambda a, n: F.length(F.array_join(F.slice(flat, a, n), " "))
-    good = lambda b: ~((first < b) & (b < first + m)) & (part(F.lit(1), b) <= max_cpl) & (part(b + 1, F.size(flat) - b) <= max_cpl)
-    return (F.size(flat) < 2) | (F.size(starts) == 0) | F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flat) - 1)), lambda b: (b < F.size(flat)) & good(b))
+    return F.when(phrase.isNotNull(), _let(F.struct(flat.alias("flat"), F.transform(flat, plain_word).alias("norm"), want.alias("want")), judged)).otherwise(False)
 
 
 def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl: int = 42, min_ms: int = 800, gap_ms: int = 80, num: int = 25, den: int = 1, speaker: str | None = None, label: str | None = None) -> DataFrame:
@@ -227,8 +226,12 @@ def issues(cues: DataFrame, phrases: list[str] = (), max_cps: int = 17, max_cpl:
         longest = lambda x: F.array_max(F.transform(F.split(x, "\n"), lambda y: F.length(y)))
         wide = longest(F.col("_text"))
         flat = words_of(F.col("_text"))
-        part = lambda a, n: F.length(F.array_join(F.slice(flat, a, n), " "))
-        two = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(flat) - 1)), lambda b: (b < F.size(flat)) & (part(F.lit(1), b) <= max_cpl) & (part(b + 1, F.size(flat) - b) <= max_cpl))
+
+        def splits(x: Column) -> Column:
+            part = lambda a, n: F.length(F.array_join(F.slice(x, a, n), " "))
+            return F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(x) - 1)), lambda b: (b < F.size(x)) & (part(F.lit(1), b) <= max_cpl) & (part(b + 1, F.size(x) - b) <= max_cpl))
+
+        two = _let(flat, splits)
         later = F.least(start + need, F.coalesce(F.col("_from") - gap_ms, start + need))
         rows += [
             ("SPEAKER_LABEL_CAUSED_CPS_FAILURE", here & (bare <= max_cps) & (F.col("_cps") > max_cps), F.col("_cps"), True, result((later > end) & (F.col("_chars") / ((later - start) / 1000.0) <= max_cps))),

@@ -52,7 +52,7 @@ def seg1_groups(spark, sf_dir):
 def seg3_sentence_ends(spark, sf_dir):
     """Only words that end in a sentence sign are taken out of the text and looked at."""
     text = F.coalesce("text", F.lit(""))
-    ends = F.regexp_extract_all(text, F.lit(r"(?<![^ \t\n\r])([^ \t\n\r]*[.!?。！？．])(?![^ \t\n\r])"), 1)
+    ends = F.regexp_extract_all(text, F.lit(r"(?<![^ \t\n\r])([^ \t\n\r]++)(?<=[.!?。！？．])"), 1)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_count(text, F.lit(r"[^ \t\n\r]+")).cast("long").alias("n_words"), F.size(F.filter(ends, T.is_sentence_end)).cast("long").alias("n_ends"))
 
 
