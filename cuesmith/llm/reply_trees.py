@@ -88,20 +88,18 @@ def _paths(nodes: DataFrame, keep: int | None) -> DataFrame:
     # jumps[k]: the ancestor 2**k steps up, where there is one; total: scores from the message to below that ancestor
     step = staged(links.withColumn("root", F.when(F.col("up").isNull(), F.col("node"))).withColumn("depth", F.when(F.col("up").isNull(), 0).cast("long")), "tree-0")
     leaves = step.select("tree", F.col("node").alias("leaf")).join(step.select("tree", F.col("up").alias("leaf")), ["tree", "leaf"], "left_anti")
-    jumps = []
-    most = max(1, nodes.count()).bit_length() + 1
-    while (open_ := step.where("up is not null")).head(1):
-        if len(jumps) > most:  # what is left lies on, or hangs from, a circle
-            break
+    jumps, most = [], max(1, nodes.count()).bit_length() + 1
+    done, open_ = step.where("up is null"), step.where("up is not null")
+    while open_.head(1) and len(jumps) <= most:  # what is left after that lies on, or hangs from, a circle
         jumps.append(open_.select("tree", "node", "up"))
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("more"))
-        step = step.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.when(F.col("r").isNull(), F.col("next")).alias("up"),
-            F.coalesce("root", "r").alias("root"), F.coalesce("depth", F.col("d") + (1 << len(jumps) - 1)).alias("depth"),
-            (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-        )
-        step = staged(step, f"tree-{len(jumps)}")
-    ends = leaves.join(step.where("root is not null").select("tree", F.col("node").alias("leaf"), "root", "depth", "total"), ["tree", "leaf"])
+        above = done.unionByName(open_).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("total").alias("more"))
+        # only messages whose root is not known yet are looked up
+        looked = staged(open_.select("tree", "node", "up", "total").join(above, ["tree", "up"]).select(
+            "tree", "node", F.when(F.col("r").isNull(), F.col("next")).alias("up"), F.col("r").alias("root"),
+            (F.col("d") + (1 << len(jumps) - 1)).alias("depth"), (F.col("total") + F.col("more")).alias("total"),
+        ), f"tree-{len(jumps)}")
+        done, open_ = done.unionByName(looked.where("root is not null")), looked.where("root is null")
+    ends = leaves.join(done.select("tree", F.col("node").alias("leaf"), "root", "depth", "total"), ["tree", "leaf"])
     ends = ends.withColumn("n_turns", F.col("depth") + 1)
     if keep is not None:
         best = Window.partitionBy("tree", "root").orderBy(F.desc(F.col("total") / F.col("n_turns")), F.desc("n_turns"), "leaf")
