@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesmith.llm import decontam, ngram_join, packing, surrogates, toxicity
-from cuesmith.llm.common import new_path, table
+from cuesmith.llm.common import new_path, release, staged_paths, table
 from cuesmith.session import ship
 
 #: Learning, sorting out and packing cannot be said in SQL; the tests hold each stage's decisions against plain Python on a small table of odd rows.
@@ -74,10 +74,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each result written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages, each result written as Parquet in the shared folder and read again; what a
+    stage has staged, and its input, is deleted once its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), staged_paths(spark)
     for name, stage in STAGES:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        release(spark, [*before, path])
     return docs

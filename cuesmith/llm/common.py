@@ -14,6 +14,7 @@ import ctypes.util
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,18 @@ def staged(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every staged table of this application."""
-    for path in _STAGED.pop(spark.sparkContext.applicationId, []):
-        _delete(spark, path)
+def staged_paths(spark: SparkSession) -> list[str]:
+    return list(_STAGED.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete the staged tables of this application but those to ``keep``."""
+    stay = set(keep)
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    _STAGED[spark.sparkContext.applicationId] = [p for p in paths if p in stay]
+    for path in paths:
+        if path not in stay:
+            _delete(spark, path)
 
 
 @atexit.register

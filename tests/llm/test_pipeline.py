@@ -7,6 +7,7 @@ from test_ngram_join import plain as plain_links
 
 import corpus_pipeline as P
 from cuesmith.llm import surrogates
+from cuesmith.llm.common import staged, staged_paths
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,7 +83,10 @@ def test_replace_pii(spark, sf):
 
 def test_stages_in_a_row(spark, sf):
     folder, rows = sf
+    mine = staged(spark.range(3).toDF("x"), "mine")
+    before = staged_paths(spark)
     out = P.run(spark, folder).collect()
+    assert len(staged_paths(spark)) == len(before) + 1 and mine.count() == 3  # its result is what is left
     at = {}
     for r in out:
         at.setdefault(r.sequence_id, []).append((r.offset, r.length))
