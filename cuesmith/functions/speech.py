@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cuesmith.functions import words as W
 from cuesmith.functions.layout import is_cjk
+from cuesmith.functions.text import ABBREVIATIONS
 
 # ---- fixed values: marks around words, and the forms of speaker labels
 EDGES = ".,!?;:—–\"'"
@@ -19,10 +20,6 @@ CLOSERS = "\"'»”’)]}"
 LABEL = re.compile(r"\s*(?:-\s+|\[[^\]]*\]:?\s*|[^\s:]{1,24}:\s+)")
 BRACKET_LABEL, PAREN_LABEL = re.compile(r"^\s*\[[^\]]*?:\]\s*"), re.compile(r"^\s*\([^)]*?\):\s*")
 # ----
-_ABBREVIATIONS = frozenset(
-    "mr mrs ms dr prof rev fr sr jr st messrs mmes mlle mt ave blvd rd ln ste apt dept fl inc ltd co corp llc plc vs etc no al approx est min max "
-    "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun".split()
-)
 _FILLERS, _COMMON, _ALWAYS = frozenset(W.FILLERS.split()), frozenset(W.COMMON_WORDS.split()), frozenset(W.ALWAYS_CAPITAL.split())
 
 
@@ -44,7 +41,7 @@ def ends_sentence(word: str) -> bool:
     if not w.endswith(W.SENTENCE_SIGNS) or w.endswith("..."):
         return False
     core = w.rstrip(".!?\"')]}»”’").strip()
-    return not (w.endswith(".") and ("." in core or core.lower() in _ABBREVIATIONS or re.fullmatch("[A-Z]", core)))
+    return not (w.endswith(".") and ("." in core or core.lower() in ABBREVIATIONS or re.fullmatch("[A-Z]", core)))
 
 
 def remove_disfluencies(text: str) -> str:

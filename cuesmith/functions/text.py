@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 # ---- fixed values
 ABBREVIATIONS = (
-    "mr mrs ms dr prof rev fr sr jr st messrs mmes mlle mt ave blvd rd ln ste apt dept fl inc ltd co corp llc plc vs etc no al approx est min max "
-    "jan feb mar apr jun jul aug sep sept oct nov dec mon tue wed thu fri sat sun"
-).split()
+    "mr", "mrs", "ms", "dr", "prof", "rev", "fr", "sr", "jr", "st", "messrs", "mmes", "mlle", "mt", "ave", "blvd", "rd", "ln", "ste", "apt", "dept", "fl",
+    "inc", "ltd", "co", "corp", "llc", "plc", "vs", "etc", "no", "al", "approx", "est", "min", "max", "jan", "feb", "mar", "apr", "jun", "jul", "aug",
+    "sep", "sept", "oct", "nov", "dec", "mon", "tue", "wed", "thu", "fri", "sat", "sun",
+)
 CLOSING = "[.!?\"')\\]}»”’]"
 CJK_ENDS = "。！？．"
 FNV_OFFSET, FNV_PRIME = 0x811C9DC5, 0x01000193
