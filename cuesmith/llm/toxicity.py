@@ -37,6 +37,7 @@ import copy
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ from cuesmith.llm.common import ALNUM_WORDS, Words, clear_columns, give_back, he
 
 THRESHOLD = 0.7
 ROWS = 1 << 18
-UNIT_TEXTS, UNIT_WORDS = 1 << 14, 1 << 23
+UNIT_TEXTS, UNIT_WORDS = 1 << 12, 1 << 21
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 EPOCHS, BATCH = 5, 64
 #: Embeddings are summed up in so many slices.
@@ -305,6 +306,19 @@ def _best_threshold(steps: np.ndarray, n: np.ndarray, t: np.ndarray, prior) -> f
 # ------------------------------------------------------- learning from tables
 
 
+def _slices(batches, column: str, most: int = 1 << 23):
+    """Parts of batches with about ``most`` bytes in ``column`` (one longer row is a part
+    of its own): an executor's workers share its memory with its JVM."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy().astype(np.int64))
+        lo = 0
+        while lo < len(batch):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+        give_back()
+
+
 def _arrays(column: pa.Array, kind) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), kind) for x in column]
 
@@ -328,7 +342,7 @@ def _languages(names: list[str], column: pa.Array) -> np.ndarray:
 
 def _count_words(names: list[str]):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, "words"):
             own, word, n, t, times = counted(_arrays(batch.column("words"), np.uint64), batch.column("toxic").to_numpy(), _languages(names, batch.column("lang")))
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(word.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in (n, t, times))], ["lang", "word", "n", "t", "times"])
 
@@ -337,7 +351,7 @@ def _count_words(names: list[str]):
 
 def _encode(shared):
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches, "words"):
             ids = [shared.value.index(h).astype("<i4").tobytes() for h in _arrays(batch.column("words"), np.uint64)]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("shard", "apart", "doc_id", "toxic")), pa.array(ids, pa.binary())], ["shard", "apart", "doc_id", "toxic", "ids"])
 
@@ -349,7 +363,7 @@ UNIT = "shard int, unit int, apart boolean, texts long, sizes binary, toxic bina
 
 def _unit(key: list, number: int, ids: list[bytes], toxic: list[float]) -> pa.RecordBatch:
     sizes = np.array([len(x) // 4 for x in ids], "<i8")
-    values = [[key[0]], [number], [key[1]], [len(ids)], [sizes.tobytes()], [np.array(toxic, "<f8").tobytes()], [b"".join(ids)]]
+    values = [[key[0]], [number], [key[1]], [len(ids)], [sizes.tobytes()], [np.array(toxic, "<f8").tobytes()], [pa.compress(b"".join(ids), "zstd", asbytes=True)]]
     kinds = [pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], [x.split()[0] for x in UNIT.split(", ")])
 
@@ -357,7 +371,7 @@ def _unit(key: list, number: int, ids: list[bytes], toxic: list[float]) -> pa.Re
 def _units(batches):
     """Rows that follow each other as units: none has texts of two shards or of both sides."""
     key, number, ids, toxic, size = None, 0, [], [], 0
-    for batch in batches:
+    for batch in _slices(batches, "ids"):
         for *to, label, words in zip(*(batch.column(x).to_pylist() for x in ("shard", "apart", "toxic", "ids"))):
             if ids and (to != key or len(ids) >= 2 * UNIT_TEXTS or size + len(words) > 8 * UNIT_WORDS):
                 yield _unit(key, number, ids, toxic)
@@ -372,7 +386,8 @@ def _units(batches):
 
 def _texts(row: dict) -> tuple[list[np.ndarray], np.ndarray]:
     edges = np.cumsum(np.frombuffer(row["sizes"], "<i8"))
-    return np.split(np.frombuffer(row["ids"], "<i4"), edges[:-1]), np.frombuffer(row["toxic"], "<f8")
+    ids = pa.decompress(row["ids"], 4 * int(edges[-1]), "zstd")
+    return np.split(np.frombuffer(ids, "<i4"), edges[:-1]), np.frombuffer(row["toxic"], "<f8")
 
 
 def _rows_of(batches):
